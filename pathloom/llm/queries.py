@@ -6,6 +6,8 @@ import importlib
 
 _MODULES = {
     "op1_sharding": "op01_sharding",
+    "op8_toxicity": "op08_toxicity",
+    "op10_pii": "op10_pii",
 }
 
 
