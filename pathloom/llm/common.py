@@ -86,3 +86,19 @@ def name_of(df: DataFrame, name: str) -> str:
         if c.lower() == name.lower():
             return c
     raise ValueError(f"the input has no column {name}: {df.columns}")
+
+
+#: Bytes of text of a side table that are sent to every task at once.
+SIDE_BYTES = 16 << 20
+
+
+def side_slices(df: DataFrame, text: str, limit: int = SIDE_BYTES) -> Iterator[list]:
+    """Rows of a side table, at most about `limit` bytes of text at a time: one
+    slice for a small table, several passes over the large one for a big table."""
+    size = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    n = -(-size // limit)
+    if n <= 1:
+        yield df.collect()
+        return
+    for i in range(n):
+        yield df.where(F.pmod(F.xxhash64(text), F.lit(n)) == i).collect()
