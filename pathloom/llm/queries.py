@@ -7,6 +7,8 @@ import importlib
 _MODULES = {
     "op1_sharding": "op01_sharding",
     "op2_tokens": "op02_tokens",
+    "op6_decontam": "op06_decontam",
+    "op7_topk": "op07_topk",
     "op8_toxicity": "op08_toxicity",
     "op9_bpe": "op09_bpe",
     "op10_pii": "op10_pii",
