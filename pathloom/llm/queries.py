@@ -7,6 +7,7 @@ import importlib
 _MODULES = {
     "op1_sharding": "op01_sharding",
     "op2_tokens": "op02_tokens",
+    "op4_simhash": "op04_simhash",
     "op6_decontam": "op06_decontam",
     "op7_topk": "op07_topk",
     "op8_toxicity": "op08_toxicity",
