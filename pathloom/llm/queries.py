@@ -8,6 +8,7 @@ _MODULES = {
     "op1_sharding": "op01_sharding",
     "op2_tokens": "op02_tokens",
     "op4_simhash": "op04_simhash",
+    "op5_suffix": "op05_suffix",
     "op6_decontam": "op06_decontam",
     "op7_topk": "op07_topk",
     "op8_toxicity": "op08_toxicity",
