@@ -7,6 +7,7 @@ import importlib
 _MODULES = {
     "op1_sharding": "op01_sharding",
     "op2_tokens": "op02_tokens",
+    "op3_lm": "op03_lm",
     "op4_simhash": "op04_simhash",
     "op5_suffix": "op05_suffix",
     "op6_decontam": "op06_decontam",
