@@ -2,12 +2,15 @@
 of pieces.
 
 Texts are split into words in Spark tasks. A task packs its documents into
-chunks: the chunk's distinct words, and for each position the number of its
-word. Only the words travel: the distinct words of all chunks are encoded once
-each, joined back by (chunk, number), and the positions take their ids. Texts
-are never shuffled, and nothing that is broadcast grows with the corpus.
-Decoding joins ids, by position, with the id-to-piece table on the map side;
-its size is the vocabulary's.
+chunks: the chunk's distinct words, ordered by (bucket, word), and for each
+position the number of its word. Only the words travel, compressed by bucket of
+their hash: a bucket's words of all chunks meet, each distinct word is encoded
+once, and its ids go back to (chunk, bucket), where positions take them. Texts
+and positions are never shuffled, and nothing that is broadcast grows with the
+corpus. Decoding joins ids, by position, with the id-to-piece table on the map
+side; its size is the vocabulary's.
+
+spark.checkpoint.dir must be on a file system that executors mount.
 
 Defined results: a null text has null ids (and decodes to null), an empty text
 none; repeated rows and null keys are carried along; an empty table gives an
@@ -16,23 +19,52 @@ empty result. Other columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from pathloom.llm import bpe
-from pathloom.llm.common import BATCH_ROWS, map_batches, materialize, name_of, table
+from pathloom.llm.common import BATCH_ROWS, local_path, map_batches, materialize, name_of, shared_dir, table
 
 #: Positions in a chunk, about.
 CHUNK_WORDS = 4_000_000
+BUCKETS = 512
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Bytes of equal weight lie together, which packs better."""
+    x = np.ascontiguousarray(x.astype(np.uint32))
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _from_planes(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.uint8).reshape(4, -1).T.copy().view(np.uint32).reshape(-1)
+
+
+def pack_lists(lists: list, joined: bytes) -> bytes:
+    """Sizes of the lists, then what they hold."""
+    import zstandard
+
+    sizes = _planes(np.fromiter(map(len, lists), np.int64, len(lists)))
+    return zstandard.ZstdCompressor(level=3).compress(len(lists).to_bytes(4, "little") + sizes + joined)
+
+
+def unpack_lists(blob: bytes) -> tuple[np.ndarray, bytes]:
+    import zstandard
 
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    n = int.from_bytes(raw[:4], "little")
+    return _from_planes(raw[4 : 4 + 4 * n]).astype(np.int64), raw[4 + 4 * n :]
 
-def pack(df: DataFrame, key: str, text: str, chunk_words: int = CHUNK_WORDS) -> DataFrame:
-    """chunk, keys, sizes (words by document, -1 for null), codes, words."""
+
+def pack(df: DataFrame, key: str, text: str, chunk_words: int = CHUNK_WORDS, buckets: int = BUCKETS) -> DataFrame:
+    """A row for each chunk: chunk, keys, sizes (words by document, -1 for null),
+    codes; and one for each of its buckets: chunk, bucket, words."""
     kind = df.schema[key].dataType.simpleString()
+    schema = f"chunk bigint, bucket int, keys array<{kind}>, sizes array<int>, codes binary, words binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -40,24 +72,34 @@ def pack(df: DataFrame, key: str, text: str, chunk_words: int = CHUNK_WORDS) ->
 
         part, made = TaskContext.get().partitionId(), 0
         split = bpe.splitter()
-        squeeze = zstandard.ZstdCompressor(level=3)
         keys, sizes, codes, total, at = [], [], [], 0, {}
 
         def flush():
             nonlocal made, keys, sizes, codes, total, at
             all_keys = pa.concat_arrays(keys)
-            flat = np.concatenate(codes) if codes else np.zeros(0, np.uint32)
-            # bytes of equal weight lie together, which packs better
-            packed = squeeze.compress(flat.view(np.uint8).reshape(-1, 4).T.tobytes())
+            raw = [w.encode() for w in at]
+            bucket = np.fromiter((zlib.crc32(w) % buckets for w in raw), np.int64, len(raw))
+            order = sorted(range(len(raw)), key=lambda i: (bucket[i], raw[i]))
+            place = np.empty(len(raw), np.uint32)
+            place[order] = np.arange(len(raw), dtype=np.uint32)
+            flat = place[np.concatenate(codes)] if codes else np.zeros(0, np.uint32)
+            edge = np.searchsorted(bucket[order], np.arange(buckets + 1)) if raw else np.zeros(buckets + 1, int)
+            blobs, names = [], []
+            for b in np.flatnonzero(np.diff(edge)):
+                words = [raw[i] for i in order[edge[b] : edge[b + 1]]]
+                blobs.append(pack_lists(words, b"".join(words)))
+                names.append(int(b))
+            n = len(blobs)
             row = pa.RecordBatch.from_arrays(
                 [
-                    pa.array([f"{part}-{made}"]),
-                    pa.ListArray.from_arrays([0, len(all_keys)], all_keys),
-                    pa.array([sizes], pa.list_(pa.int32())),
-                    pa.array([packed], pa.binary()),
-                    pa.array([list(at)], pa.list_(pa.string())),
+                    pa.array([(part << 32) + made] * (n + 1), pa.int64()),
+                    pa.array([None, *names], pa.int32()),
+                    pa.concat_arrays([pa.ListArray.from_arrays([0, len(all_keys)], all_keys), pa.nulls(n, pa.list_(all_keys.type))]),
+                    pa.array([sizes, *[None] * n], pa.list_(pa.int32())),
+                    pa.array([zstandard.ZstdCompressor(level=3).compress(_planes(flat)), *[None] * n], pa.binary()),
+                    pa.array([None, *blobs], pa.binary()),
                 ],
-                ["chunk", "keys", "sizes", "codes", "words"],
+                ["chunk", "bucket", "keys", "sizes", "codes", "words"],
             )
             made += 1
             keys, sizes, codes, total, at = [], [], [], 0, {}
@@ -83,70 +125,81 @@ def pack(df: DataFrame, key: str, text: str, chunk_words: int = CHUNK_WORDS) ->
         if sizes:
             yield flush()
 
-    schema = f"chunk string, keys array<{kind}>, sizes array<int>, codes binary, words array<string>"
     return df.select(df[key].alias("key"), df[text].alias("text")).mapInArrow(run, schema)
 
 
 def encode_words(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """word, ids of each row of words."""
-
-    def make():
-        encode = bpe.encoder(ranks)
-
-        def fn(b: pa.RecordBatch):
-            ids = [encode(w) for w in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"])
+    """chunk, bucket, ids of the words of each chunk and bucket; a word that
+    several chunks have is encoded once."""
 
-        return fn
-
-    return map_batches(words.select("word"), make, "word string, ids array<int>", rows=20_000)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, known, current = bpe.encoder(ranks), {}, None
+        for t in batches:
+            out = []
+            for bucket, blob in zip(t.column(1).to_pylist(), t.column(2)):
+                if bucket != current:  # rows come by bucket
+                    known, current = {}, bucket
+                sizes, joined = unpack_lists(blob.as_py())
+                ends = np.cumsum(sizes).tolist()
+                lists = []
+                for a, b in zip([0, *ends], ends):
+                    w = joined[a:b]
+                    ids = known.get(w)
+                    if ids is None:
+                        ids = known[w] = encode(w.decode())
+                    lists.append(ids)
+                out.append(pack_lists(lists, _planes(np.fromiter((i for x in lists for i in x), np.int64))))
+            yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), pa.array(out, pa.binary())], ["chunk", "bucket", "ids"])
+
+    return words.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "chunk bigint, bucket int, ids binary")
 
 
 def encode(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = bpe.VOCABULARY, chunk_words: int = CHUNK_WORDS) -> DataFrame:
     """key, token_ids, n_tokens of every row."""
     key, text = name_of(df, key), name_of(df, text)
     kind = df.schema[key].dataType.simpleString()
-    ranks = bpe.read_ranks(vocabulary)
+    path = shared_dir(df.sparkSession) + "/ids"
     chunks = materialize(pack(df, key, text, chunk_words), "chunks")
-    distinct = chunks.select(F.explode("words").alias("word")).distinct()
-    ids = encode_words(distinct, ranks)
-    placed = chunks.select("chunk", F.posexplode("words").alias("at", "word")).join(ids, "word").select(F.col("chunk").alias("of"), "at", "ids")
-    body = chunks.select("chunk", "keys", "sizes", "codes")
+    ids = encode_words(chunks.where("bucket is not null").select("chunk", "bucket", "words"), bpe.read_ranks(vocabulary))
+    ids.repartition("chunk").sortWithinPartitions("chunk", "bucket").write.partitionBy("chunk").parquet(path)
+    folder = local_path(path)
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import os
 
-    def unpack(left: pa.Table, right: pa.Table) -> pa.Table:
+        import pyarrow.parquet as pq
         import zstandard
 
-        keys = left["keys"].chunk(0).flatten()
-        sizes = left["sizes"].chunk(0).flatten().to_numpy(zero_copy_only=False)
-        flat = zstandard.ZstdDecompressor().decompress(left["codes"][0].as_py())
-        codes = np.frombuffer(flat, np.uint8).reshape(4, -1).T.copy().view(np.uint32).reshape(-1)
-        if right.num_rows:
-            order = np.argsort(right["at"].to_numpy())
-            col = right["ids"].combine_chunks()
-            col = col.chunk(0) if isinstance(col, pa.ChunkedArray) else col
-            offs = col.offsets.to_numpy()
-            base, count = offs[:-1][order], np.diff(offs)[order]
-            pool = col.values.to_numpy(zero_copy_only=False)
-        else:
-            base = count = np.zeros(0, np.int32)
-            pool = np.zeros(0, np.int32)
-        words_to = np.concatenate([[0], np.cumsum(np.maximum(sizes, 0))])
-        done = []
-        for i in range(0, len(sizes), BATCH_ROWS):
-            j = min(len(sizes), i + BATCH_ROWS)
-            c = codes[words_to[i] : words_to[j]]
-            n = count[c].astype(np.int64)
-            upto = np.concatenate([[0], np.cumsum(n)])
-            tokens = pool[np.repeat(base[c] - upto[:-1], n) + np.arange(upto[-1])] if len(c) else np.zeros(0, np.int32)
-            starts = upto[words_to[i : j + 1] - words_to[i]].astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(starts), pa.array(tokens, pa.int32()), mask=pa.array(sizes[i:j] < 0))
-            done.append(pa.RecordBatch.from_arrays(
-                [keys.slice(i, j - i), lists, pa.array(np.diff(starts), mask=sizes[i:j] < 0)], ["key", "token_ids", "n_tokens"]
-            ))
-        return pa.Table.from_batches(done)
-
-    out = body.groupBy("chunk").cogroup(placed.groupBy("of")).applyInArrow(unpack, f"key {kind}, token_ids array<int>, n_tokens int")
-    return out.withColumnRenamed("key", key)
+        for batch in batches:
+            for row in range(batch.num_rows):
+                own = f"{folder}/chunk={batch.column(0)[row].as_py()}"
+                count, pool = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+                if os.path.isdir(own):
+                    files = sorted(f"{own}/{x}" for x in os.listdir(own) if x.endswith(".parquet"))
+                    found = pa.concat_tables([pq.ParquetFile(f).read(["bucket", "ids"]) for f in files]).sort_by("bucket")
+                    for blob in found["ids"]:
+                        n, raw = unpack_lists(blob.as_py())
+                        count.append(n)
+                        pool.append(_from_planes(raw).astype(np.int32))
+                count, pool = np.concatenate(count), np.concatenate(pool)
+                base = np.cumsum(count) - count
+                keys = batch.column(1).slice(row, 1).flatten()
+                sizes = batch.column(2).slice(row, 1).flatten().to_numpy(zero_copy_only=False)
+                codes = _from_planes(zstandard.ZstdDecompressor().decompress(batch.column(3)[row].as_py()))
+                words_to = np.concatenate([[0], np.cumsum(np.maximum(sizes, 0))])
+                for i in range(0, len(sizes), BATCH_ROWS):
+                    j = min(len(sizes), i + BATCH_ROWS)
+                    c = codes[words_to[i] : words_to[j]]
+                    n = count[c]
+                    upto = np.concatenate([[0], np.cumsum(n)])
+                    tokens = pool[np.repeat(base[c] - upto[:-1], n) + np.arange(upto[-1])] if len(c) else np.zeros(0, np.int32)
+                    starts = upto[words_to[i : j + 1] - words_to[i]].astype(np.int32)
+                    null = pa.array(sizes[i:j] < 0)
+                    lists = pa.ListArray.from_arrays(pa.array(starts), pa.array(tokens, pa.int32()), mask=null)
+                    yield pa.RecordBatch.from_arrays([keys.slice(i, j - i), lists, pa.array(np.diff(starts), mask=sizes[i:j] < 0)], ["key", "token_ids", "n_tokens"])
+
+    body = chunks.where("bucket is null").select("chunk", "keys", "sizes", "codes")
+    return body.mapInArrow(unpack, f"key {kind}, token_ids array<int>, n_tokens int").withColumnRenamed("key", key)
 
 
 def decode(df: DataFrame, ids: str = "token_ids", text: str = "text", vocabulary: str = bpe.VOCABULARY) -> DataFrame:
