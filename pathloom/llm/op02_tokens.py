@@ -14,8 +14,10 @@ unless named as metadata; one called token_ids or n_tokens is an error.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,27 +42,39 @@ def tokenize(df: DataFrame, key: str = "doc_id", text: str = "text", metadata: I
     width = 1 + len(metadata)
 
     def make():
-        split, encode, known = bpe.splitter(), bpe.encoder(ranks), {}
+        split, encode = bpe.splitter(), bpe.encoder(ranks)
+        # number of a word; ids of word k are pool[ends[k]:ends[k + 1]]
+        known: dict[str, int] = {}
+        pool, ends = array("i"), array("q", [0])
 
         def fn(b: pa.RecordBatch):
-            tokens, counts = [], []
+            nonlocal pool, ends
+            codes, sizes = [], []
             for t in b.column(width).to_pylist():
-                if t is None:
-                    tokens.append(None), counts.append(None)
-                    continue
-                words = split(t)
-                for w in set(words):
-                    if w not in known:
-                        known[w] = encode(w)
-                out: list[int] = []
-                for x in map(known.__getitem__, words):
-                    out += x
-                tokens.append(out), counts.append(len(out))
+                words = split(t) if t else []
+                sizes.append(-1 if t is None else len(words))
+                try:
+                    codes.append(np.fromiter(map(known.__getitem__, words), np.int64, len(words)))
+                except KeyError:
+                    for w in set(words).difference(known):
+                        known[w] = len(known)
+                        pool.extend(encode(w))
+                        ends.append(len(pool))
+                    codes.append(np.fromiter(map(known.__getitem__, words), np.int64, len(words)))
+            sizes = np.array(sizes, np.int64)
+            code = np.concatenate(codes) if codes else np.zeros(0, np.int64)
+            at = np.frombuffer(ends, np.int64)
+            n = (at[1:] - at[:-1])[code]
+            upto = np.concatenate([[0], np.cumsum(n)])
+            tokens = np.frombuffer(pool, np.int32)[np.repeat(at[code] - upto[:-1], n) + np.arange(upto[-1])] if len(code) else np.zeros(0, np.int32)
+            starts = upto[np.concatenate([[0], np.cumsum(np.maximum(sizes, 0))])].astype(np.int32)
+            null = sizes < 0
+            lists = pa.ListArray.from_arrays(pa.array(starts), pa.array(tokens, pa.int32()), mask=pa.array(null))
+            del at
             if len(known) > REMEMBERED:
                 known.clear()
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns[:width], pa.array(counts, pa.int32()), pa.array(tokens, pa.list_(pa.int32()))], [*b.schema.names[:width], "n_tokens", "token_ids"]
-            )
+                pool, ends = array("i"), array("q", [0])
+            yield pa.RecordBatch.from_arrays([*b.columns[:width], pa.array(np.diff(starts), mask=null), lists], [*b.schema.names[:width], "n_tokens", "token_ids"])
 
         return fn
 
