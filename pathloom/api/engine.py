@@ -103,7 +103,8 @@ class Engine:
         return c.holds(self.compile(df, expression, kind))
 
     def filter(self, df: DataFrame, expression: str, kind: str | None = None) -> DataFrame:
-        return df.where(self.test(df, expression, kind))
+        # a row whose criterion is empty goes either way: bare, the condition reaches the scan
+        return df.where(c.boolean(self.compile(df, expression, kind)))
 
     def project(self, df: DataFrame, columns: dict, kind: str | None = None, variables: dict | None = None, keep: list[str] = (), row_order: str | None = None) -> DataFrame:
         """One row for each resource. A column is an expression or a dict: path or

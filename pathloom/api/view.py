@@ -40,7 +40,7 @@ class View:
         """One row for each resource; one of another type is an error of the job."""
         if cls.type and "resourceType" in df.columns:
             wrong = F.raise_error(F.concat(F.lit(f"PATH-RUNTIME: {cls.__name__} takes {cls.type}, not "), F.coalesce("resourceType", F.lit("nothing"))))
-            df = df.withColumn("resourceType", F.when(F.col("resourceType") == cls.type, F.col("resourceType")).otherwise(wrong))
+            df = df.where(F.when(F.col("resourceType") == cls.type, F.lit(True)).otherwise(wrong.cast("boolean")))
         if not cls.columns():
             raise PathTypeError(f"{cls.__name__} has no columns")
         env: dict = {}
