@@ -18,6 +18,8 @@ from pathloom.plans.coll import Coll
 @function("extension", 1)
 def extension(k, x, args, scope):
     url = c.want(k.arg(args[0], scope), "String", "the url").col
+    if x.sibling is not None:
+        x = x.sibling
     if x.ty.name != "Struct" or "extension" not in x.ty.dt.names:
         return c.nothing()
     owner = x.ty.model.partition(".")[2] if x.ty.model else None

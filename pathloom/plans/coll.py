@@ -62,11 +62,14 @@ class Coll:
     const: object = None
     #: Typed alternatives of a choice element: (model type, its collection).
     choices: tuple = ()
-    #: Elements of the model that were read.
+    #: Digits after the point, where they are known.
     scale: int | None = None
+    #: What the data hold beside a primitive: its id and extensions (`_name`).
+    sibling: Coll | None = None
 
     def with_(self, **kw) -> Coll:
-        return replace(self, **kw)
+        """Changed; what stands beside a primitive goes with the untouched value only."""
+        return replace(self, **({"sibling": None} | kw))
 
 
 def scalar(col: Column, ty: Ty, **kw) -> Coll:

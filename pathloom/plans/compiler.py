@@ -137,6 +137,8 @@ class Compiler:
         if focus.ty.name == "Quantity" and name in ("value", "unit", "code"):
             part = "value" if name == "value" else "unit"
             return c.mapped(focus, lambda x: x[part], c.DECIMAL if part == "value" else c.STRING)
+        if focus.sibling is not None and name in ("extension", "id"):
+            return self.name(n, focus.sibling)
         if not isinstance(focus.ty.dt, T.StructType):
             return c.nothing()
         return self.element(focus, model, name)
@@ -172,6 +174,13 @@ class Compiler:
         return False
 
     def field(self, focus: Coll, name: str, kind: str | None) -> Coll:
+        out = self._field(focus, name, kind)
+        beside = "_" + name
+        if kind in TWINS and beside in focus.ty.dt.names and isinstance(focus.ty.dt[beside].dataType, (T.StructType, T.ArrayType)):
+            out = out.with_(sibling=self._field(focus, beside, "Element"))
+        return out
+
+    def _field(self, focus: Coll, name: str, kind: str | None) -> Coll:
         dt = focus.ty.dt[name].dataType
         nullable = True
         if isinstance(dt, T.ArrayType):

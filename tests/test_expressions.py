@@ -115,6 +115,14 @@ def test_choices_and_units(spark):
     assert [got[i].ext for i in "ab"] == ["e", None]
 
 
+def test_extensions_of_primitives(spark):
+    p = {"resourceType": "Patient", "id": "p", "birthDate": "1974", "_birthDate": {"id": "x", "extension": [{"url": "time", "valueDateTime": "1974-12-25T14:35:45-05:00"}]}, "name": [{"given": ["A"], "_given": [{"extension": [{"url": "n", "valueString": "s"}]}]}]}
+    df = from_objects(spark, [p])
+    e = ENGINE
+    r = e.project(df, {"t": "birthDate.extension('time').value.hourOf()", "i": "birthDate.id", "n": "birthDate.extension.count()", "no": "birthDate.extension('z').exists()", "g": "name.given.extension('n').value", "kept": "birthDate.where($this.exists()).extension('time').empty()"}, kind="Patient").first()
+    assert (r.t, r.i, r.n, r.no, r.g, r.kept) == (14, "x", 1, False, "s", True)
+
+
 def test_questionnaire_repeat(spark):
     q = {"resourceType": "Questionnaire", "id": "q", "item": [{"linkId": "1", "item": [{"linkId": "1.1", "item": [{"linkId": "1.1.1"}]}, {"linkId": "1.2"}]}, {"linkId": "2"}]}
     df = from_objects(spark, [q])
