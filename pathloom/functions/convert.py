@@ -79,7 +79,7 @@ def _decimal(v, ty):
     if ty.name in ("Boolean", *c.NUMERIC):
         return v.cast(c.DEC)
     if ty.name == "String":
-        return F.when(F.rlike(v, F.lit(r"^[+-]?\d+(\.\d+)?$")), v.try_cast(c.DEC))
+        return F.when(F.rlike(v, F.lit(r"^[-+]?\d+(?:[.]\d+)?$")), v.try_cast(c.DEC))
 
 
 def _string(v, ty):
@@ -137,7 +137,7 @@ def _quantity(k, x: Coll, args, scope) -> Coll:
     elif ty.name in c.NUMERIC or o.is_quantity(ty):
         q = o.quantity(c.scalar(v, ty)).col
     elif ty.name == "String":
-        form = r"^([+-]?\d+(?:\.\d+)?)\s*(?:'([^']+)'|(years?|months?|weeks?|days?|hours?|minutes?|seconds?|milliseconds?))?$"
+        form = rf"^([-+]?\d+(?:[.]\d+)?)(?:\s*'([^']+)'|\s*((?:{'|'.join(units.CALENDAR)})s?))?$"
         number, code, word = (F.regexp_extract(v, form, i) for i in (1, 2, 3))
         unit = F.when(code != "", code).when(word != "", F.regexp_replace(word, "s$", "")).otherwise(F.lit("1"))
         q = F.when(F.rlike(v, F.lit(form)), make(number.try_cast(c.DEC), unit))
