@@ -136,7 +136,7 @@ def test_bundle_and_resolve(spark):
 
     b = {"resourceType": "Bundle", "id": "b", "entry": [{"fullUrl": "urn:1", "resource": {"resourceType": "Patient", "id": "p", "gender": "male"}}, {"fullUrl": "urn:2", "resource": {"resourceType": "Observation", "id": "o", "subject": {"reference": "Patient/p"}}}]}
     df = from_objects(spark, [b])
-    got = ENGINE.evaluate(df, "Bundle.entry.resource.ofType(Observation).subject.resolve().ofType(Patient).id").collect()
+    got = ENGINE.evaluate(df, "entry.resource.ofType(Observation).subject.resolve().ofType(Patient).id", kind="Bundle").collect()
     assert [r.value for r in got] == ["p"]
     assert {r.id for r in bundle_entries(df).collect()} == {"p", "o"}
 
