@@ -5,6 +5,12 @@ from __future__ import annotations
 import numpy as np
 
 ONE = np.uint64(1)
+ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
+
+
+def _lowest(w: np.ndarray) -> np.ndarray:
+    """Place of the lowest set bit, 64 where there is none."""
+    return np.bitwise_count((w & (~w + ONE)) - ONE).astype(np.int64)
 
 
 def _select_in_word(w: np.ndarray, k: np.ndarray) -> np.ndarray:
@@ -56,11 +62,28 @@ class EliasFano:
         rest = np.where(sh == 0, np.uint64(0), self.low[word + 1] << ((np.uint64(64) - sh) & np.uint64(63)))
         return ((self.low[word] >> sh) | rest) & np.uint64((1 << self.width) - 1)
 
-    def access(self, i: np.ndarray) -> np.ndarray:
+    def _place(self, i: np.ndarray) -> np.ndarray:
+        """Place of the i-th one of the high bits."""
         word = np.searchsorted(self.ones, i, side="right") - 1
-        at = word * 64 + _select_in_word(self.high[word], i - self.ones[word])
+        return word * 64 + _select_in_word(self.high[word], i - self.ones[word])
+
+    def _value(self, i: np.ndarray, at: np.ndarray) -> np.ndarray:
         return ((at - i).astype(np.uint64) << np.uint64(self.width)) | self._low(i)
 
+    def access(self, i: np.ndarray) -> np.ndarray:
+        return self._value(i, self._place(i))
+
+    def access_two(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Elements i and i + 1; the second mostly stands in the same word."""
+        at = self._place(i)
+        rest = self.high[at >> 6] & (ALL << (at & 63).astype(np.uint64) << ONE)
+        rest = np.where((at & 63) == 63, np.uint64(0), rest)
+        after = (at & ~63) + _lowest(rest)
+        far = np.flatnonzero(rest == 0)
+        if len(far):
+            after[far] = self._place(i[far] + 1)
+        return self._value(i, at), self._value(i + 1, after)
+
     def _zero(self, k: np.ndarray) -> np.ndarray:
         """Place of the k-th zero of the high bits."""
         if not hasattr(self, "zeros"):
@@ -76,8 +99,14 @@ class EliasFano:
         last = (len(self.high) * 64 - self.n) - 1
         inside = h < last
         h = np.minimum(h, last - 1)
-        a = np.where(h > 0, self._zero(np.maximum(h - 1, 0)) - (h - 1), 0)
-        b = self._zero(h) - h
+        # a bucket's elements are the ones between two zeros, mostly in one word
+        at = np.where(h > 0, self._zero(np.maximum(h - 1, 0)) + 1, 0)
+        a = at - h
+        run = _lowest(~(self.high[at >> 6] >> (at & 63).astype(np.uint64)))
+        b = a + run
+        far = np.flatnonzero((at & 63) + run >= 64)
+        if len(far):
+            b[far] = self._zero(h[far]) - h[far]
         if lo is not None:
             a, b = np.maximum(a, lo), np.minimum(b, hi)
         want = x & np.uint64((1 << self.width) - 1)

@@ -147,13 +147,21 @@ class Level:
 
     def lookup(self, context: np.ndarray, successor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Discounted probability, and weight of the lower order (1 for an unseen context)."""
-        r = self.contexts.find(context)
-        p, weight = np.zeros(len(r)), np.ones(len(r))
+        # keys come in order, so a context's stand together: it is looked up once
+        new = np.concatenate([[True], context[1:] != context[:-1]])
+        of = np.cumsum(new) - 1
+        one = self.contexts.find(context[new])
+        seen = np.flatnonzero(one >= 0)
+        lows, highs, lower = np.zeros(len(one), np.int64), np.zeros(len(one), np.int64), np.ones(len(one))
+        if len(seen):
+            a, b = self.pointers.access_two(one[seen])
+            lows[seen], highs[seen] = a.astype(np.int64), b.astype(np.int64)
+            lower[seen] = DISCOUNT * (highs[seen] - lows[seen]) / np.exp(self.totals[one[seen]] * (64 / 65535))
+        r, lo, hi, weight = one[of], lows[of], highs[of], lower[of]
+        p = np.zeros(len(r))
         on = np.flatnonzero(r >= 0)
         if len(on):
-            r = r[on]
-            lo, hi = self.pointers.access(r).astype(np.int64), self.pointers.access(r + 1).astype(np.int64)
-            weight[on] = DISCOUNT * (hi - lo) / np.exp(self.totals[r] * (64 / 65535))
+            r, lo, hi = r[on], lo[on], hi[on]
             i = self.successors.find((r.astype(np.uint64) << np.uint64(16)) | successor[on].astype(np.uint64), lo, hi)
             p[on] = np.where(i >= 0, np.exp(self.probs[np.maximum(i, 0)].astype(np.float64) / -QUANT), 0.0)
         return p, np.minimum(weight, 1.0)

@@ -140,10 +140,13 @@ def test_token_output(spark, docs, awkward, none, tmp_path):
 def test_elias_fano():
     rng = np.random.default_rng(3)
     for top in (1, 50, 1000, 10**6, 2**40):
-        for n in (0, 1, 2000):
+        for n in (0, 1, 2000, 40_000):
             v = np.unique(rng.integers(0, top, n))
             e = EliasFano.build(v)
             assert (e.access(np.arange(len(v))).astype(np.int64) == v).all()
+            if len(v) > 1:
+                a, b = e.access_two(np.arange(len(v) - 1))
+                assert (a.astype(np.int64) == v[:-1]).all() and (b.astype(np.int64) == v[1:]).all()
             q = np.concatenate([v, rng.integers(0, 2 * top, 500)])
             at = {int(x): i for i, x in enumerate(v)}
             assert e.find(q).tolist() == [at.get(int(x), -1) for x in q]
