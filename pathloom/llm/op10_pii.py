@@ -1,7 +1,8 @@
 """Personal data and secrets in texts.
 
-Regular expressions propose spans, validators confirm them (Luhn for cards,
-mod-97 for IBANs, ranges for addresses and identity numbers), and words within
+Regular expressions propose spans, each kind on its own; validators confirm them
+(Luhn for cards, mod-97 for IBANs, ranges for addresses and identity numbers),
+at shorter ends too where a reading fails. Words within
 40 characters before or 20 after raise or lower the score. Spans under the
 threshold are dropped; of overlapping ones the best (then longest, then first)
 stays. Offsets count characters of the whole text.
@@ -14,6 +15,7 @@ by find_spans and kept by redact, whatever their names.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -25,13 +27,16 @@ BEFORE, AFTER = 40, 20
 
 DOMAIN = re.compile(r"(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![A-Za-z0-9])")
 LOCAL = re.compile(r"[\w%+-][\w.%+-]*\Z")
-NUMERIC = re.compile(
-    r"(?P<ipv4>(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d))"
-    r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
-    r"|(?P<phone>(?<!\w)\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\w)"
-    r"|(?<![\w)])\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\w)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-]))"
-    r"|(?P<card>(?<![\w-])\d(?:[ -]?\d){12,18}(?!\w))"
-)
+#: Runs of characters that numbers are written with; all numeric kinds lie within one.
+CLUSTER = re.compile(r"[\d(+][\d ().+-]{6,}")
+IPV4 = re.compile(r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d)")
+SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")
+PHONE = re.compile(r"(?<![\w)])\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\w)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])")
+#: Of no fixed length, so its end is found by trying group bounds, as a card's is.
+WORLD_PHONE = re.compile(r"(?<!\w)\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\w)")
+CARD = re.compile(r"(?<![\w-])\d(?:[ -]?\d){12,18}(?!\w)")
+#: Groups of digits that cards are printed in.
+CARD_GROUPS = {(4, 4, 4, 4), (4, 6, 5), (4, 6, 4)}
 IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}")
 SECRET = re.compile(r"(?<!\w)(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|AKIA[0-9A-Z]{16}|gh[opsu]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64})(?!\w)")
 #: Lengths of IBANs by country.
@@ -84,6 +89,65 @@ def _valid(kind: str, s: str) -> bool:
     return True
 
 
+def _each(pattern: re.Pattern, text: str, start: int, stop: int):
+    """Matches from every place where one may begin, overlapping ones too."""
+    m = pattern.search(text, start, stop)
+    while m:
+        yield m
+        m = pattern.search(text, m.start() + 1, stop)
+
+
+def _ends(kind: str, pattern: re.Pattern, text: str, m: re.Match) -> list[int]:
+    """Ends of the valid readings of a match, at bounds of its groups, longest first."""
+    a, b = m.span()
+    ends = [b] + [e for e in range(b - 1, a, -1) if text[e] in " .-" and text[e - 1].isdigit() and pattern.fullmatch(text, a, e)]
+    return [e for e in ends if _valid(kind, text[a:e])]
+
+
+def _numbers(text: str, start: int, stop: int):
+    """Each kind is looked for on its own. What has a fixed form comes first; a
+    card in other groups must not overlap it, and a phone must not end within it."""
+    firm = [("ipv4", *m.span()) for m in _each(IPV4, text, start, stop) if _valid("ipv4", m[0])]
+    firm += [("ssn", *m.span()) for m in _each(SSN, text, start, stop) if _valid("ssn", m[0])]
+    firm += [("phone", *m.span()) for m in _each(PHONE, text, start, stop)]
+    loose = []
+    for m in _each(CARD, text, start, stop):
+        a = m.start()
+        after_plus = text[a - 1 : a] == "+"
+        for b in _ends("card", CARD, text, m):
+            groups = tuple(map(len, re.split("[ -]", text[a:b])))
+            if groups in CARD_GROUPS or len(groups) == 1 and not after_plus:
+                firm.append(("card", a, b))
+            elif not after_plus:
+                loose.append(("card", a, b))
+    world = [(m.start(), _ends("phone", WORLD_PHONE, text, m)) for m in _each(WORLD_PHONE, text, start, stop)]
+    for k, a, b in loose:
+        # no card begins within a phone, unless a whole phone is left before it
+        if all(b <= x or a >= y for _, x, y in firm) and all(not p or not s < a < p[0] or p[-1] <= a for s, p in world):
+            yield k, a, b
+            world = [(s, [e for e in p if not a < e < b]) for s, p in world]
+    phones = []
+    for s, p in world:
+        end = next((e for e in p if not any(s < x < e < y for _, x, y in firm)), None)
+        if end:
+            phones.append((s, end))
+            yield "phone", s, end
+    for k, a, b in firm:
+        if k != "phone" or not any(s <= a and b <= e for s, e in phones):
+            yield k, a, b
+
+
+def _iban_end(text: str, m: re.Match) -> int | None:
+    want = IBAN_LENGTH.get(m[0][:2])
+    n = end = 0
+    for end, c in enumerate(m[0], 1):
+        n += c != " "
+        if n == want:
+            break
+    s, end = m[0][:end].replace(" ", ""), m.start() + end
+    return end if n == want and not text[end : end + 1].isalnum() and mod97(s) else None
+
+
 def _candidates(text: str):
     at = text.find("@")
     while at >= 0:
@@ -92,21 +156,15 @@ def _candidates(text: str):
         if m and d:
             yield "email", m.start(), d.end()
         at = text.find("@", at + 1)
-    for m in NUMERIC.finditer(text):
-        if _valid(m.lastgroup, m[0]):
-            yield m.lastgroup, m.start(), m.end()
-    for m in IBAN.finditer(text):
-        want = IBAN_LENGTH.get(m[0][:2])
-        if not want:
-            continue
-        n = end = 0
-        for end, c in enumerate(m[0], 1):
-            n += c != " "
-            if n == want:
-                break
-        s = m[0][:end].replace(" ", "")
-        if n == want and not text[m.start() + end : m.start() + end + 1].isalnum() and mod97(s):
-            yield "iban", m.start(), m.start() + end
+    for m in CLUSTER.finditer(text):
+        # two more characters for what the patterns look ahead to
+        yield from _numbers(text, m.start(), m.end() + 2)
+    m = IBAN.search(text)
+    while m:
+        end = _iban_end(text, m)
+        if end:
+            yield "iban", m.start(), end
+        m = IBAN.search(text, end or m.start() + 1)
     for m in SECRET.finditer(text):
         yield "secret", m.start(), m.end()
 
@@ -128,9 +186,11 @@ def spans(text: str | None, threshold: float = THRESHOLD) -> list[tuple[int, int
     found = [(score(k, text, a, b), a, b, k) for k, a, b in _candidates(text)]
     kept: list[tuple[int, int, str, float]] = []
     for s, a, b, k in sorted(found, key=lambda x: (-x[0], x[1] - x[2], x[1])):
-        if s >= threshold and all(b <= x[0] or a >= x[1] for x in kept):
-            kept.append((a, b, k, s))
-    return sorted(kept)
+        if s >= threshold:
+            i = bisect_left(kept, (a, b))
+            if (i == 0 or kept[i - 1][1] <= a) and (i == len(kept) or b <= kept[i][0]):
+                kept.insert(i, (a, b, k, s))
+    return kept
 
 
 def find_spans(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -461,6 +461,25 @@ def test_pii(spark, docs, awkward, none):
     assert op10_pii.find_spans(none).count() == 0 and op10_pii.find_spans(awkward).count() == 0
 
 
+def test_pii_side_by_side():
+    f = lambda t: [(t[a:b], k) for a, b, k, _ in op10_pii.spans(t)]
+    phone, card, iban = ("+1 (017) 555-7713", "phone"), ("4111 1111 1111 1111", "card"), ("GB82 WEST 1234 5698 7654 32", "iban")
+    for ip in ("192.168.100.44", "10.20.30.40", "10.0.0.1", "8.8.8.8"):
+        assert f(f"{phone[0]} {ip}") == [phone, (ip, "ipv4")], ip
+        assert f(f"{ip} {phone[0]}") == [(ip, "ipv4"), phone], ip
+        assert f(f"{card[0]} {ip}") == [card, (ip, "ipv4")], ip
+    for t in ("{} 12/27", "{} 1111 123", "55 {}", "55 {} 12", "{} 123", "x {}-7"):
+        assert f(t.format(card[0])) == [card], t
+    for other in (phone, card, ("5500-0000-0000-0004", "card"), ("378282246310005", "card"), ("3782 822463 10005", "card")):
+        assert f(f"{other[0]} {card[0]}") == [other, card] and f(f"{card[0]} {other[0]}") == [card, other], other
+    assert f("+44 20 7946 0958 555-123-4567") == [("+44 20 7946 0958", "phone"), ("555-123-4567", "phone")]
+    assert f("ssn +1 555 123 4567 123-45-6789") == [("+1 555 123 4567", "phone"), ("123-45-6789", "ssn")]
+    de = ("DE89 3704 0044 0532 0130 00", "iban")
+    assert f(f"{iban[0]} {de[0]}") == [iban, de] and f(f"AB12 {iban[0]}") == [iban] and f(f"GB82 {de[0]}") == [de]
+    assert f("+4915123456783") == [("+4915123456783", "phone")] and f("+1 555-123-4567") == [("+1 555-123-4567", "phone")]
+    assert len(f("1 2 3 4 5 6 7 8 9 0 " * 2000)) > 0
+
+
 # the pipeline
 def test_pipeline(spark):
     import corpus_pipeline
