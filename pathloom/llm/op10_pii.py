@@ -38,7 +38,7 @@ CARD = re.compile(r"(?<![\w-])\d(?:[ -]?\d){12,18}(?!\w)")
 #: Groups of digits that cards are printed in.
 CARD_GROUPS = {(4, 4, 4, 4), (4, 6, 5), (4, 6, 4)}
 IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}")
-SECRET = re.compile(r"(?<!\w)(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|AKIA[0-9A-Z]{16}|gh[opsu]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64})(?!\w)")
+SECRET = re.compile(r"(?<!\w)(?:(?P<prefixed>AKIA[0-9A-Z]{16}|gh[opsu]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64})|[0-9a-f]{32,128}|[0-9A-F]{32,128})(?!\w)")
 #: Lengths of IBANs by country.
 IBAN_LENGTH = {
     c: int(n)
@@ -48,6 +48,8 @@ IBAN_LENGTH = {
     )
 }
 BASE = {"email": 0.9, "ipv4": 0.6, "ssn": 0.45, "phone": 0.65, "card": 0.8, "iban": 0.9, "secret": 0.35}
+#: Secrets that show by their prefix what they are.
+PREFIXED = 0.65
 HELP = {
     "email": {"mail", "email", "contact"},
     "ipv4": {"ip", "address", "host", "server", "login"},
@@ -154,28 +156,27 @@ def _candidates(text: str):
         m = LOCAL.search(text, max(0, at - 64), at)
         d = DOMAIN.match(text, at + 1)
         if m and d:
-            yield "email", m.start(), d.end()
+            yield "email", m.start(), d.end(), BASE["email"]
         at = text.find("@", at + 1)
     for m in CLUSTER.finditer(text):
         # two more characters for what the patterns look ahead to
-        yield from _numbers(text, m.start(), m.end() + 2)
+        for k, a, b in _numbers(text, m.start(), m.end() + 2):
+            yield k, a, b, BASE[k]
     m = IBAN.search(text)
     while m:
         end = _iban_end(text, m)
         if end:
-            yield "iban", m.start(), end
+            yield "iban", m.start(), end, BASE["iban"]
         m = IBAN.search(text, end or m.start() + 1)
     for m in SECRET.finditer(text):
-        yield "secret", m.start(), m.end()
+        yield "secret", m.start(), m.end(), PREFIXED if m["prefixed"] else BASE["secret"]
 
 
-def score(kind: str, text: str, start: int, end: int) -> float:
+def score(kind: str, text: str, start: int, end: int, base: float) -> float:
     near = WORD.findall(text[max(0, start - BEFORE) : start].lower()) + WORD.findall(text[end : end + AFTER].lower())
-    s = BASE[kind] + (0.3 if HELP[kind].intersection(near) else 0.0)
+    s = base + (0.3 if HELP[kind].intersection(near) else 0.0)
     if kind != "email" and HURT.intersection(near):
         s -= 0.3
-    if kind == "secret" and not text[start : start + 2].isalnum():
-        s += 0.3
     return round(min(1.0, max(0.0, s)), 2)
 
 
@@ -183,7 +184,7 @@ def spans(text: str | None, threshold: float = THRESHOLD) -> list[tuple[int, int
     """start, end, kind, score of each span of a text, in order."""
     if not text:
         return []
-    found = [(score(k, text, a, b), a, b, k) for k, a, b in _candidates(text)]
+    found = [(score(k, text, a, b, base), a, b, k) for k, a, b, base in _candidates(text)]
     kept: list[tuple[int, int, str, float]] = []
     for s, a, b, k in sorted(found, key=lambda x: (-x[0], x[1] - x[2], x[1])):
         if s >= threshold:

@@ -480,6 +480,14 @@ def test_pii_side_by_side():
     assert len(f("1 2 3 4 5 6 7 8 9 0 " * 2000)) > 0
 
 
+def test_pii_prefixed_secrets():
+    for key in ("AKIA" + "Q7" * 8, *(f"gh{c}_" + "aB3" * 12 for c in "opsu"), "sk-" + "x9Y" * 8):
+        assert op10_pii.spans(f"the {key} of") == [(4, 4 + len(key), "secret", 0.65)], key
+        assert op10_pii.redact_text(f"the {key} of") == "the [SECRET] of"
+        assert op10_pii.spans(f"token {key}")[0][3] == 0.95 and op10_pii.spans(f"checksum {key}") == []
+    assert op10_pii.spans("the " + "04dbebab" * 5 + " of") == []
+
+
 # the pipeline
 def test_pipeline(spark):
     import corpus_pipeline
