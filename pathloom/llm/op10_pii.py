@@ -39,14 +39,20 @@ CARD = re.compile(r"(?<![\w-])\d(?:[ -]?\d){12,18}(?!\w)")
 CARD_GROUPS = {(4, 4, 4, 4), (4, 6, 5), (4, 6, 4)}
 IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}")
 SECRET = re.compile(r"(?<!\w)(?:(?P<prefixed>AKIA[0-9A-Z]{16}|gh[opsu]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64})|[0-9a-f]{32,128}|[0-9A-F]{32,128})(?!\w)")
-#: Lengths of IBANs by country.
+#: Lengths of IBANs by country, of the registry.
 IBAN_LENGTH = {
     c: int(n)
     for c, n in (
         x.split(":")
-        for x in "AD:24 AE:23 AT:20 BE:16 BG:22 CH:21 CY:28 CZ:24 DE:22 DK:18 EE:20 ES:24 FI:18 FR:27 GB:22 GR:27 HR:21 HU:28 IE:22 IL:23 IS:26 IT:27 LI:21 LT:20 LU:20 LV:21 MC:27 MT:31 NL:18 NO:15 PL:28 PT:25 RO:24 SA:24 SE:24 SI:19 SK:24 SM:27 TR:26".split()
+        for x in (
+            "AD:24 AE:23 AL:28 AT:20 AZ:28 BA:20 BE:16 BG:22 BH:22 BI:27 BR:29 BY:28 CH:21 CR:22 CY:28 CZ:24 DE:22 DJ:27 DK:18 DO:28 EE:20 EG:29 ES:24 FI:18 FK:18 FO:18 FR:27 GB:22 GE:22 GI:23 GL:18 "
+            "GR:27 GT:28 HN:28 HR:21 HU:28 IE:22 IL:23 IQ:23 IS:26 IT:27 JO:30 KW:30 KZ:20 LB:28 LC:32 LI:21 LT:20 LU:20 LV:21 LY:25 MC:27 MD:24 ME:22 MK:19 MN:20 MR:27 MT:31 MU:30 NI:28 NL:18 NO:15 OM:23 "
+            "PK:24 PL:28 PS:29 PT:25 QA:29 RO:24 RS:22 RU:33 SA:24 SC:31 SD:18 SE:24 SI:19 SK:24 SM:27 SO:23 ST:25 SV:28 TL:23 TN:24 TR:26 UA:29 VA:22 VG:24 XK:20 YE:30"
+        ).split()
     )
 }
+#: Of other countries, any length that mod-97 confirms counts, at this score.
+UNLISTED_IBAN = 0.55
 BASE = {"email": 0.9, "ipv4": 0.6, "ssn": 0.45, "phone": 0.65, "card": 0.8, "iban": 0.9, "secret": 0.35}
 #: Secrets that show by their prefix what they are.
 PREFIXED = 0.65
@@ -140,14 +146,14 @@ def _numbers(text: str, start: int, stop: int):
 
 
 def _iban_end(text: str, m: re.Match) -> int | None:
-    want = IBAN_LENGTH.get(m[0][:2])
-    n = end = 0
-    for end, c in enumerate(m[0], 1):
+    """Where an IBAN ends: at its country's length, or for an unlisted country at
+    the longest end that mod-97 confirms."""
+    want, n, ends = IBAN_LENGTH.get(m[0][:2]), 0, []
+    for end, c in enumerate(m[0], m.start() + 1):
         n += c != " "
-        if n == want:
-            break
-    s, end = m[0][:end].replace(" ", ""), m.start() + end
-    return end if n == want and not text[end : end + 1].isalnum() and mod97(s) else None
+        if c != " " and (n == want if want else n >= 15) and not text[end : end + 1].isalnum():
+            ends.append(end)
+    return next((e for e in reversed(ends) if mod97(text[m.start() : e].replace(" ", ""))), None)
 
 
 def _candidates(text: str):
@@ -158,16 +164,19 @@ def _candidates(text: str):
         if m and d:
             yield "email", m.start(), d.end(), BASE["email"]
         at = text.find("@", at + 1)
-    for m in CLUSTER.finditer(text):
-        # two more characters for what the patterns look ahead to
-        for k, a, b in _numbers(text, m.start(), m.end() + 2):
-            yield k, a, b, BASE[k]
+    ibans = []
     m = IBAN.search(text)
     while m:
         end = _iban_end(text, m)
         if end:
-            yield "iban", m.start(), end, BASE["iban"]
+            ibans.append((m.start(), end))
+            yield "iban", m.start(), end, BASE["iban"] if m[0][:2] in IBAN_LENGTH else UNLISTED_IBAN
         m = IBAN.search(text, end or m.start() + 1)
+    for m in CLUSTER.finditer(text):
+        # two more characters for what the patterns look ahead to
+        for k, a, b in _numbers(text, m.start(), m.end() + 2):
+            if k != "card" or not any(x <= a and b <= y for x, y in ibans):
+                yield k, a, b, BASE[k]
     for m in SECRET.finditer(text):
         yield "secret", m.start(), m.end(), PREFIXED if m["prefixed"] else BASE["secret"]
 

@@ -488,6 +488,25 @@ def test_pii_prefixed_secrets():
     assert op10_pii.spans("the " + "04dbebab" * 5 + " of") == []
 
 
+def test_pii_ibans_of_all_countries():
+    def iban(country, n):
+        rest = "".join("7420915836"[i % 10] for i in range(n - 4))
+        check = 98 - int("".join(str(int(c, 36)) for c in rest + country + "00")) % 97
+        return f"{country}{check:02d}{rest}"
+
+    # examples of the registry
+    for s in ("UA213223130000026007233566001", "BR1800360305000010009795493C1", "RS35260005601001611379", "MK07250120000058984", "KZ86125KZT5004100100", "QA58DOHB00001234567890ABCDEFG", "EG380019000500000000263180002", "TN5910006035183598478831"):
+        assert op10_pii.spans(f"to {s} now") == [(3, 3 + len(s), "iban", 0.9)], s
+    for country, n in [*op10_pii.IBAN_LENGTH.items(), ("ZZ", 15), ("DZ", 26), ("QQ", 34)]:
+        s = iban(country, n)
+        for t in (s, " ".join(s[i : i + 4] for i in range(0, n, 4))):
+            want = 0.9 if country in op10_pii.IBAN_LENGTH else 0.55
+            assert op10_pii.spans(f"to {t} now") == [(3, 3 + len(t), "iban", want)], t
+            assert (3, 3 + len(t), "iban", want) in op10_pii.spans(f"to {t} {iban('DE', 22)}"), t
+        bad = s[:-1] + ("1" if s[-1] != "1" else "2")
+        assert not any(k == "iban" and b - a == n for a, b, k, _ in op10_pii.spans(f"to {bad} now"))
+
+
 # the pipeline
 def test_pipeline(spark):
     import corpus_pipeline
