@@ -9,7 +9,8 @@ words (weights not negative), fitted on a bounded sample of labelled rows,
 scores the restored words.
 
 Only words that can stand for something the classifier weighs are decoded: the
-others cannot change the score, so this is exact.
+others cannot change the score, so this is exact. In scoring, plain words with a
+doubled letter that hit nothing as they stand are decoded too.
 
 Defined results: a null or empty text has no evidence, probability 0 and is not
 toxic; repeated rows are scored alike; with no labels of both kinds nothing is
@@ -210,7 +211,7 @@ def fit(rows: list[tuple[list[str], int, int]], l1: float = L1, steps: int = 400
 
 class Scorer:
     """Probabilities of texts. A word is looked at when its first two characters
-    may stand for the beginning of something weighed."""
+    may stand for the beginning of something weighed, or one of them for nothing."""
 
     def __init__(self, model: CharModel, classifier: Classifier):
         self.model, self.classifier, self.known = model, classifier, {}
@@ -220,7 +221,9 @@ class Scorer:
                 forms.setdefault(c, {c}).add(sign)
         self.heads: set[str] = set()
         for f in classifier.weights:
-            f = f.rstrip("$")
+            f = f.removesuffix("$")
+            if not f:  # of signs only, which are looked at anyway
+                continue
             one, two = forms.get(f[0], {f[0]}), forms.get(f[1:2], {f[1:2]})
             self.heads |= {a + b for a in one for b in two | one}
         self.firsts = {h[0] for h in self.heads}
@@ -228,8 +231,8 @@ class Scorer:
     def _words(self, token: str) -> list[str]:
         s = token.strip(".,;:?\"'()")
         if not any(c.isalpha() for c in s):
-            return []
-        if PLAIN.fullmatch(s):
+            return [s]
+        if PLAIN.fullmatch(s) and not LONG.search(s):
             if any(f in self.classifier.weights for f in features(s)) or not any(a == b for a, b in zip(s, s[1:])):
                 return [s]
         return self.model.decode(s)
@@ -249,19 +252,14 @@ class Scorer:
         words = low.split()
         hits: Counter = Counter()
         for w in words:
-            if w[:2] in heads or not w[0].isalnum() or w[1:2] in SIGNS:
+            if w[:2] in heads or not w[0].isalnum() or not w[1:2].isalnum():
                 hits.update(self._hits(w))
-        if " " in low and ALONE.search(low):
-            for m in ALONE.finditer(low):
-                for w in self.model.decode("".join(m[0].split()), alone=True):
-                    hits.update(f for f in features(w) if f in self.classifier.weights)
+        for m in ALONE.finditer(low):
+            for w in self.model.decode("".join(m[0].split()), alone=True):
+                hits.update(f for f in features(w) if f in self.classifier.weights)
         return self.classifier.probability(hits, len(words))
 
 
-#: Signs that may stand between the letters of a word.
-SIGNS = set(".-_*~'#%&/\\^,:;=+") | set(LEET) - set("0123456789")
-
-
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = SAMPLE_ROWS) -> Scorer:
     model = char_model(docs, text)
     pick = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).alias("y"))

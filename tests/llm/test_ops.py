@@ -403,6 +403,44 @@ def test_toxicity(spark, awkward, none):
     assert op08_toxicity.score(docs, one_kind).where("toxic").count() == 0
 
 
+def test_scorer_looks_at_every_word_that_counts():
+    letters = "etaoinshrdlumw"
+    n = len(letters) + 2
+    rng = random.Random(3)
+    counts = np.zeros((n, n, n), np.int64)
+    place = {c: i + 2 for i, c in enumerate(letters)}
+    for w in ("idiot", "moron", "worthless", "other", "water", "old") * 50:
+        codes = [0, 0, *(place[c] for c in w), 0]
+        for x in zip(codes, codes[1:], codes[2:]):
+            counts[x] += 1
+    model = op08_toxicity.CharModel(letters, counts)
+    weights = {f: 1.0 for w in ("idiot", "moron", "worthless", "a") for f in op08_toxicity.features(w)} | {"$": 0.5, "$$$": 0.5, "123$": 0.5}
+    classifier = op08_toxicity.Classifier(weights, -3.0, 0.1)
+    signs = ".-_*~'#%&/\\^,:;=+?)[]{}<>\"`!(|$@€¡£·•\u200b\u00ad…–«»°§"
+
+    def want(text):
+        hits = Counter(f for w in op08_toxicity.tokens(text, model) for f in op08_toxicity.features(w) if f in weights)
+        return classifier.probability(hits, len(text.split()))
+
+    for sign in signs:
+        text = sign.join("idiot")
+        assert op08_toxicity.Scorer(model, classifier).probability(text) == want(text), text
+        if sign not in op08_toxicity.LEET:
+            assert want(text) > 0.4, text
+    scorer = op08_toxicity.Scorer(model, classifier)
+    leet = {"o": "0", "i": "1!|", "e": "3", "s": "5$", "t": "7+"}
+    for _ in range(3000):
+        words = []
+        for _ in range(rng.randint(1, 4)):
+            w = rng.choice(("idiot", "moron", "worthless", "other", "a", "123", "$$$", "..."))
+            w = "".join(rng.choice(leet.get(c, c) + c) * rng.choice((1, 1, 1, 3)) + (rng.choice(signs) if rng.random() < 0.4 else "") for c in w)
+            # plain words with a doubled letter are decoded in scoring only
+            if not (op08_toxicity.PLAIN.fullmatch(w.strip(signs)) and re.search(r"(.)\1", w)):
+                words.append(w)
+        text = rng.choice((" ", "\n", "\t")).join(words + rng.choice(([], list("moron"))))
+        assert scorer.probability(text) == want(text), text
+
+
 def test_viterbi_is_the_best_path():
     letters = "abdiot"
     n = len(letters) + 2
