@@ -6,7 +6,9 @@ task; words that no phrase has, and runs of the others too short for a phrase,
 become separators, which loses no match. Over the rest stands an FM-index: BWT
 in a wavelet matrix, ranks by bit counts, every STEP-th suffix position and each
 run's start sampled. All phrases are searched backwards together, their
-occurrences located, and overlapping or touching spans merged.
+occurrences located, and overlapping or touching spans merged. A benchmark too
+big to be sent at once is searched in slices: each pass leaves the texts as they
+are and hands its hits on in a column; the last one merges all.
 
 Words are maximal runs of letters, digits and underscores, lower-cased. Offsets
 count characters of the whole text.
@@ -25,8 +27,10 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from pathloom.llm.common import name_of, side_slices, table
+from pathloom.llm.common import SIDE_BYTES, name_of, side_slices, table, with_fresh
 
 N = 8
 LEAST = 5
@@ -181,9 +185,8 @@ class Phrases:
         return out
 
 
-def merged(text: str, hits: list[tuple[int, int, list]]) -> list[tuple[int, int, list]]:
-    """Character spans of word spans: those that overlap or touch are one."""
-    bounds = [m.span() for m in WORD.finditer(text.lower())] if len(text.lower()) == len(text) else _bounds(text)
+def joined(hits: list[tuple[int, int, list]]) -> list[tuple[int, int, list]]:
+    """Word spans of hits: those that overlap or touch are one."""
     out: list = []
     for w, m, items in sorted(hits, key=lambda h: h[:2]):
         if out and w <= out[-1][1]:
@@ -191,7 +194,13 @@ def merged(text: str, hits: list[tuple[int, int, list]]) -> list[tuple[int, int,
             out[-1][2].update(items)
         else:
             out.append([w, w + m, set(items)])
-    return [(bounds[a][0], bounds[b - 1][1], sorted(i, key=lambda v: (v is None, v))) for a, b, i in out]
+    return [(a, b - a, sorted(i, key=lambda v: (v is None, v))) for a, b, i in out]
+
+
+def merged(text: str, hits: list[tuple[int, int, list]]) -> list[tuple[int, int, list]]:
+    """Character spans of hits."""
+    bounds = [m.span() for m in WORD.finditer(text.lower())] if len(text.lower()) == len(text) else _bounds(text)
+    return [(bounds[w][0], bounds[w + m - 1][1], items) for w, m, items in joined(hits)]
 
 
 def _bounds(text: str) -> list[tuple[int, int]]:
@@ -200,14 +209,18 @@ def _bounds(text: str) -> list[tuple[int, int]]:
     return [(origin[m.start()], origin[m.end() - 1] + 1) for m in WORD.finditer("".join(c.lower() for c in text))]
 
 
-def shards(batches: Iterator[pa.RecordBatch], where: int, phrases: Phrases, shard_words: int) -> Iterator[tuple[pa.Table, list, dict]]:
-    """Runs of rows with their texts and, by row, their merged spans."""
+def shards(batches: Iterator[pa.RecordBatch], where: int, phrases: Phrases, shard_words: int, carried: int | None) -> Iterator[tuple[pa.Table, list, dict]]:
+    """Runs of rows with their texts and, by row, their hits with those carried along."""
     held, texts, ids, total = [], [], [], 0
     get = phrases.vocab.get
 
     def done():
         hits = phrases.occurrences(ids) if phrases.by_length else {}
-        return pa.Table.from_batches(held), texts, {d: merged(texts[d], h) for d, h in hits.items()}
+        rows = pa.Table.from_batches(held)
+        for d, old in enumerate(rows.column(carried).to_pylist() if carried is not None else ()):
+            if old:
+                hits.setdefault(d, []).extend((h["w"], h["m"], h["items"]) for h in old)
+        return rows, texts, hits
 
     for big in batches:
         for i in range(0, big.num_rows, 500):
@@ -225,57 +238,85 @@ def shards(batches: Iterator[pa.RecordBatch], where: int, phrases: Phrases, shar
         yield done()
 
 
-def find_spans(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", n: int = N, shard_words: int = SHARD_WORDS) -> DataFrame:
+def _all_but_last(df: DataFrame, benchmark: DataFrame, where: int, item: str, item_text: str, n: int, shard_words: int, side_bytes: int) -> tuple[DataFrame, int | None, Phrases]:
+    """df with the hits of all slices but the last, the number of their column
+    (None for a single slice), and the last slice's phrases."""
+    item_type = benchmark.schema[name_of(benchmark, item)].dataType
+    hits_type = T.ArrayType(T.StructType().add("w", T.IntegerType()).add("m", T.IntegerType()).add("items", T.ArrayType(item_type)))
+    carried, phrases = None, None
+    for rows in side_slices(benchmark.select(item, item_text), item_text, side_bytes):
+        if phrases is not None:
+
+            def run(batches: Iterator[pa.RecordBatch], phrases=phrases, carried=carried) -> Iterator[pa.RecordBatch]:
+                for held, _, hits in shards(batches, where, phrases, shard_words, carried):
+                    base = 0
+                    for b in held.to_batches():
+                        found = [[{"w": w, "m": m, "items": i} for w, m, i in joined(hits.get(d, ()))] for d in range(base, base + b.num_rows)]
+                        base += b.num_rows
+                        cols, names = b.columns[:carried], b.schema.names[:carried]
+                        yield pa.RecordBatch.from_arrays([*cols, pa.array(found, to_arrow_type(hits_type))], [*names, hits_name])
+
+            if carried is None:
+                hits_name = with_fresh(df, "hits")
+                df = df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(hits_name, hits_type)]))
+                carried = len(df.columns) - 1
+            else:
+                df = df.mapInArrow(run, df.schema)
+        phrases = Phrases([tuple(r) for r in rows], n)
+    return df, carried, phrases
+
+
+def find_spans(
+    df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", n: int = N, shard_words: int = SHARD_WORDS, side_bytes: int = SIDE_BYTES
+) -> DataFrame:
     """key, start, end, items: one row for each merged span of a document."""
     key, text = name_of(df, key), name_of(df, text)
     kind = df.schema[key].dataType.simpleString()
-    item_kind = benchmark.schema[name_of(benchmark, item)].dataType.simpleString()
-    out = None
-    for rows in side_slices(benchmark.select(item, item_text), item_text):
-        phrases = Phrases([tuple(r) for r in rows], n)
+    items_type = T.ArrayType(benchmark.schema[name_of(benchmark, item)].dataType)
+    df, carried, phrases = _all_but_last(df.select(df[key].alias("key"), df[text].alias("text")), benchmark, 1, item, item_text, n, shard_words, side_bytes)
 
-        def run(batches: Iterator[pa.RecordBatch], phrases=phrases) -> Iterator[pa.RecordBatch]:
-            for held, _, spans in shards(batches, 1, phrases, shard_words):
-                at = [d for d in sorted(spans) for _ in spans[d]]
-                start, end, items = zip(*[s for d in sorted(spans) for s in spans[d]]) if at else ((), (), ())
-                cols = [held.column(0).take(pa.array(at, pa.int64())).combine_chunks(), pa.array(start, pa.int32()), pa.array(end, pa.int32())]
-                cols[0] = pa.concat_arrays(cols[0].chunks) if isinstance(cols[0], pa.ChunkedArray) else cols[0]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(items, pa.list_(pa.int64()) if item_kind in ("bigint", "int") else None)], ["key", "start", "end", "items"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held, texts, hits in shards(batches, 1, phrases, shard_words, carried):
+            spans = {d: merged(texts[d], hits[d]) for d in sorted(hits)}
+            at = [d for d in spans for _ in spans[d]]
+            start, end, items = zip(*[s for d in spans for s in spans[d]]) if at else ((), (), ())
+            cols = [held.column(0).take(pa.array(at, pa.int64())).combine_chunks(), pa.array(start, pa.int32()), pa.array(end, pa.int32())]
+            cols[0] = pa.concat_arrays(cols[0].chunks) if isinstance(cols[0], pa.ChunkedArray) else cols[0]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(items, to_arrow_type(items_type))], ["key", "start", "end", "items"])
 
-        part = df.select(df[key].alias("key"), df[text].alias("text")).mapInArrow(run, f"key {kind}, start int, end int, items array<{item_kind}>")
-        out = part if out is None else out.unionByName(part)
-    return out.withColumnRenamed("key", key)
+    return df.mapInArrow(run, f"key {kind}, start int, end int, items {items_type.simpleString()}").withColumnRenamed("key", key)
 
 
-def cut(df: DataFrame, benchmark: DataFrame, text: str = "text", chars: str | None = None, item: str = "item_id", item_text: str = "text", n: int = N, shard_words: int = SHARD_WORDS) -> DataFrame:
+def cut(
+    df: DataFrame, benchmark: DataFrame, text: str = "text", chars: str | None = None, item: str = "item_id", item_text: str = "text", n: int = N, shard_words: int = SHARD_WORDS, side_bytes: int = SIDE_BYTES
+) -> DataFrame:
     """df without the spans; `chars` names a column that holds the text's length."""
     where = df.columns.index(name_of(df, text))
     count = df.columns.index(chars) if chars in df.columns else None
-    for rows in side_slices(benchmark.select(item, item_text), item_text):
-        phrases = Phrases([tuple(r) for r in rows], n)
-
-        def run(batches: Iterator[pa.RecordBatch], phrases=phrases) -> Iterator[pa.RecordBatch]:
-            for held, texts, spans in shards(batches, where, phrases, shard_words):
-                for d, found in spans.items():
-                    t, at, parts = texts[d], 0, []
-                    for a, b, _ in found:
-                        parts.append(t[at:a])
-                        at = b
-                    texts[d] = "".join(parts) + t[at:]
-                base = 0
-                for b in held.to_batches():
-                    cols = list(b.columns)
-                    own = range(base, base + b.num_rows)
-                    if spans:
-                        cols[where] = pa.array(texts[base : base + b.num_rows], cols[where].type)
-                        if count is not None:
-                            was = cols[count].to_pylist()
-                            cols[count] = pa.array([len(texts[d]) if d in spans else x for d, x in zip(own, was)], cols[count].type)
-                    base += b.num_rows
-                    yield pa.RecordBatch.from_arrays(cols, b.schema.names)
-
-        df = df.mapInArrow(run, df.schema)
-    return df
+    schema = df.schema
+    df, carried, phrases = _all_but_last(df, benchmark, where, item, item_text, n, shard_words, side_bytes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held, texts, hits in shards(batches, where, phrases, shard_words, carried):
+            for d, found in hits.items():
+                t, at, parts = texts[d], 0, []
+                for a, b, _ in merged(t, found):
+                    parts.append(t[at:a])
+                    at = b
+                texts[d] = "".join(parts) + t[at:]
+            base = 0
+            for b in held.to_batches():
+                cols = list(b.columns[:carried])
+                own = range(base, base + b.num_rows)
+                if hits:
+                    cols[where] = pa.array(texts[base : base + b.num_rows], cols[where].type)
+                    if count is not None:
+                        was = cols[count].to_pylist()
+                        cols[count] = pa.array([len(texts[d]) if d in hits else x for d, x in zip(own, was)], cols[count].type)
+                base += b.num_rows
+                yield pa.RecordBatch.from_arrays(cols, b.schema.names[:carried])
+
+    return df.mapInArrow(run, schema)
 
 
 def op6_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:

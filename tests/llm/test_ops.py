@@ -342,6 +342,24 @@ def test_decontamination(spark, docs, awkward, none):
     assert op06_decontam.find_spans(none, bench).count() == 0 and op06_decontam.cut(none, bench).count() == 0
 
 
+def test_decontamination_in_slices(spark, docs):
+    word = lambda a, b: " ".join(f"w{i}" for i in range(a, b))
+    items = [(1, word(0, 10)), (2, word(6, 16)), (3, word(16, 26)), (4, word(22, 30)), (5, word(40, 50)), (6, word(50, 53) + " " + word(60, 65))]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    # overlapping and touching items, and a seam that only the cut of item 5 would close
+    texts = [(1, "pre " + word(0, 30) + " post"), (2, word(50, 53) + " " + word(40, 50) + " " + word(60, 65)), (3, word(0, 16)), (4, "clean"), (None, None)]
+    df = spark.createDataFrame(texts, "doc_id bigint, text string").withColumn("hits", F.lit(7))
+    for side in (50, 120):
+        got = op06_decontam.find_spans(df, bench, side_bytes=side).collect()
+        assert Counter((r.doc_id, r.start, r.end, tuple(r["items"])) for r in got) == _hits(texts, items), side
+        whole, sliced = (op06_decontam.cut(df, bench, side_bytes=x) for x in (1 << 20, side))
+        assert sliced.columns == df.columns and Counter(map(tuple, sliced.collect())) == Counter(map(tuple, whole.collect()))
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    third = sum(len(r.text.encode()) for r in bench.collect()) // 3 + 1
+    a, b = (Counter(map(tuple, op06_decontam.cut(docs, bench, chars="n_chars", side_bytes=x).collect())) for x in (1 << 24, third))
+    assert a == b
+
+
 def test_wavelet_ranks():
     rng = np.random.default_rng(4)
     seq = rng.integers(0, 37, 700)
