@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_ROUNDS = 1000
+#: After so many rounds what is found is written as one table.
+GATHER = 50
 
 
 def descend(edges: DataFrame, roots: DataFrame, parent: str = "parent", child: str = "child", root: str = "root") -> DataFrame:
@@ -21,7 +24,7 @@ def descend(edges: DataFrame, roots: DataFrame, parent: str = "parent", child: s
     e = edges.select(F.col(parent).alias("p"), F.col(child).alias("node"))
     frontier = roots.select(F.col(root).alias("root"), F.col(root).alias("at")).distinct()
     found = None
-    for depth in range(1, MAX_ROUNDS):
+    for depth in count(1):
         step = frontier.join(e, frontier["at"] == e["p"]).select("root", "node").distinct()
         if found is not None:
             step = step.join(found.select("root", "node"), ["root", "node"], "left_anti")
@@ -29,5 +32,7 @@ def descend(edges: DataFrame, roots: DataFrame, parent: str = "parent", child: s
         if step.isEmpty():
             break
         found = step if found is None else found.unionByName(step)
+        if depth % GATHER == 0:
+            found = found.coalesce(spark.sparkContext.defaultParallelism).checkpoint()
         frontier = step.select("root", F.col("node").alias("at"))
     return found if found is not None else step

@@ -138,6 +138,14 @@ def test_closure_with_cycles(spark):
     assert closure.descend(e, spark.createDataFrame([("q",)], "root string")).count() == 0
 
 
+def test_closure_has_no_depth_limit(spark, monkeypatch):
+    monkeypatch.setattr(closure, "MAX_ROUNDS", 3, raising=False)
+    monkeypatch.setattr(closure, "GATHER", 2, raising=False)
+    e = spark.createDataFrame([(i, i + 1) for i in range(7)], "parent int, child int")
+    got = {(r.node, r.depth) for r in closure.descend(e, spark.createDataFrame([(0,)], "root int")).collect()}
+    assert got == {(i, i) for i in range(1, 8)}
+
+
 def test_references_that_lead_nowhere(spark):
     o = star.resource(spark, SF, "Nation")
     some = star.resource(spark, SF, "Region").where("id = '1'")
