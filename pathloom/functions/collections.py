@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from pathloom.functions import function
 from pathloom.lang import tree as t
-from pathloom.lang.errors import PathTypeError
+from pathloom.lang.errors import RUNTIME, PathTypeError
 from pathloom.plans import coll as c
 from pathloom.plans import operators as o
 from pathloom.plans.coll import Coll
@@ -55,9 +55,34 @@ def select(k, x, args, scope):
     return c.array(F.array_compact(each) if out.single else F.flatten(each), out.ty, ordered=x.ordered)
 
 
+#: Rounds of repeat() over values that are not structs; an error if they don't suffice.
+ROUNDS = 1000
+
+
+def _fixpoint(k, x: Coll, args, scope) -> Coll:
+    """x and all that the projection, which keeps its type, yields from it."""
+    if not o.simple(x.ty):
+        raise PathTypeError(f"repeat() over {x.ty.name} is not supported")
+    kind = T.ArrayType(x.ty.dt)
+    shape = T.StructType([T.StructField("all", kind), T.StructField("new", kind)])
+
+    def merge(acc, _):
+        step = c.many(select(k, c.array(acc["new"], x.ty, ordered=False), args, scope)).cast(kind)
+        new = F.array_except(step, acc["all"])
+        return F.when(F.size(acc["new"]) == 0, acc).otherwise(F.struct(F.concat(acc["all"], new).alias("all"), new.alias("new")).cast(shape))
+
+    start = F.array_distinct(c.many(x)).cast(kind)
+    late = F.raise_error(F.lit(f"{RUNTIME}repeat() finds new items after {ROUNDS} rounds")).cast(kind)
+    col = F.aggregate(
+        F.sequence(F.lit(1), F.lit(ROUNDS)), F.struct(start.alias("all"), start.alias("new")).cast(shape), merge, lambda a: F.when(F.size(a["new"]) == 0, a["all"]).otherwise(late)
+    )
+    return c.array(col, x.ty, ordered=False)
+
+
 @function("repeat", 1)
 def repeat(k, x, args, scope):
-    """Rounds of the projection, as deep as the schema goes."""
+    """Rounds of the projection, as deep as the schema goes; values that are not
+    structs go round until no new one comes."""
     found: list[Coll] = []
     at = x
     for _ in range(64):
@@ -68,7 +93,10 @@ def repeat(k, x, args, scope):
         if isinstance(args[0], t.Name) and at.ty.name == "Struct" and args[0].name not in at.ty.dt.names:
             break
         if at.ty.name != "Struct" and len(found) > 1 and at.ty == found[-2].ty:
+            found[-2:] = [_fixpoint(k, found[-2], args, scope)]
             break
+    else:
+        raise PathTypeError("the types of repeat() do not settle")
     if not found:
         return c.nothing()
     kinds = {f.ty.dt.json() for f in found}

@@ -123,6 +123,17 @@ def test_extensions_of_primitives(spark):
     assert (r.t, r.i, r.n, r.no, r.g, r.kept) == (9, "x", 1, False, "s", True)
 
 
+def test_repeat_of_values_reaches_its_fixpoint(spark):
+    df = spark.createDataFrame([("Patient", "a")], "resourceType string, id string")
+    run = lambda e: sorted(r.value for r in ENGINE.evaluate(df, e).collect())
+    assert run("1.repeat(iif($this < 10, $this + 1, {}))") == list(range(2, 11))
+    assert run("(1 | 5).repeat(iif($this < 7, $this + 2, {}))") == [3, 5, 7]
+    assert run("'a'.repeat(iif($this.length() < 5, $this & 'b', {}))") == ["ab", "abb", "abbb", "abbbb"]
+    assert run("1.repeat(($this + 1) mod 4)") == [0, 1, 2, 3]
+    with pytest.raises(Exception, match="PATH-RUNTIME"):
+        run("1.repeat($this + 1)")
+
+
 def test_questionnaire_repeat(spark):
     node = lambda link, *inner: {"linkId": link} | ({"item": list(inner)} if inner else {})
     q = {"resourceType": "Questionnaire", "id": "q"} | node("0", node("1", node("1.1", node("1.1.1")), node("1.2")), node("2"))
