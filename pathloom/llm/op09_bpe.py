@@ -7,8 +7,8 @@ position the number of its word. Only the words travel, compressed by bucket of
 their hash: a bucket's words of all chunks meet, each distinct word is encoded
 once, and its ids go back to (chunk, bucket), where positions take them. Texts
 and positions are never shuffled, and nothing that is broadcast grows with the
-corpus. Decoding joins ids, by position, with the id-to-piece table on the map
-side; its size is the vocabulary's.
+corpus. Decoding looks each id up, in order, in a dict of pieces in every task;
+its size is the vocabulary's. No query or stage decodes.
 
 spark.checkpoint.dir must be on a file system that executors mount.
 
