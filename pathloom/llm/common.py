@@ -3,13 +3,15 @@ tables, checked broadcasts and Arrow batch helpers."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A side of a join is broadcast up to this many rows of a few longs; beyond, Spark shuffles.
 BROADCAST_ROWS = 2_000_000
@@ -22,10 +24,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh path in the folder that all executors see (spark.checkpoint.dir);
-    where that is unset, as in tests, a temporary folder becomes it."""
+    """A fresh path in the folder that all executors see (spark.checkpoint.dir).
+    Where that is unset, a temporary folder becomes it on a single machine; on a
+    cluster that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="pathloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base}/pathloom-{uuid.uuid4().hex}"
@@ -66,7 +71,21 @@ def map_batches(
             for i in range(0, b.num_rows, rows):
                 yield from fn(b.slice(i, rows))
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
+    """mapInArrow over columns of any name, dots and all: they travel under numbers."""
+    plain = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+    if isinstance(schema, str):
+        return plain.mapInArrow(run, schema)
+    numbered = T.StructType([T.StructField(f"c{i}", f.dataType, f.nullable) for i, f in enumerate(schema.fields)])
+    return plain.mapInArrow(run, numbered).toDF(*schema.names)
+
+
+def field(df: DataFrame, name: str) -> Column:
+    """A column by its exact name, dots and all."""
+    return df["`" + name.replace("`", "``") + "`"]
 
 
 def with_fresh(df: DataFrame, stem: str) -> str:

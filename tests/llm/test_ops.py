@@ -228,16 +228,76 @@ def test_components(spark):
     assert got == {x: find(x) for x in parent if find(x) != x}
 
 
+def _simhash_brute_force(rows, bits):
+    """Signatures by plain counting, all pairs, and of these the ones that share a key of some table."""
+    import xxhash
+
+    def signed(x):
+        return x - 2**64 if x >= 2**63 else x
+
+    sigs = {}
+    for i, t in {(i, t) for i, t in rows if i is not None and t is not None}:
+        words = {w for w in re.split(r"[^\w]+|_+", t.lower()) if w}
+        if not words:
+            continue
+        hashes = [xxhash.xxh64_intdigest(w.encode(), 42) for w in words]
+        other = []
+        for h in hashes:
+            x = h * 0xC2B2AE3D27D4EB4F % 2**64
+            x ^= x >> 29
+            x = x * 0x165667B19E3779F9 % 2**64
+            other.append(x ^ x >> 32)
+        sig = []
+        for hs in (hashes, other):
+            # bit k of the signature is bit k of the hashes' bytes, high bits first within a byte
+            byte = bytes(sum((2 * sum(h >> 8 * n + k & 1 for h in hs) > len(hs)) << k for k in range(8)) for n in range(8))
+            sig.append(int.from_bytes(byte, "little"))
+        sigs[i, signed(xxhash.xxh64_intdigest(t.encode(), 42))] = tuple(sig)
+    chosen = op04_simhash.chosen_bits(op04_simhash.tables_needed(bits=bits), bits)
+    keys = lambda s: [tuple(s[b >> 6] >> int(b & 63) & 1 for b in bs) for bs in chosen]
+    distinct = {s: keys(s) for s in set(sigs.values())}
+    near, close = defaultdict(set), 0
+    for s in distinct:
+        for o in distinct:
+            if s < o and sum((a ^ b).bit_count() for a, b in zip(s, o)) <= op04_simhash.RADIUS:
+                close += 1
+                if any(a == b for a, b in zip(distinct[s], distinct[o])):
+                    near[s].add(o)
+                    near[o].add(s)
+    group = {}
+    for s in distinct:
+        if s not in group:
+            todo, seen = [s], {s}
+            while todo:
+                for o in near[todo.pop()] - seen:
+                    seen.add(o)
+                    todo.append(o)
+            first = min(d for d, x in sigs.items() if x in seen)
+            group |= dict.fromkeys(seen, first)
+    found = Counter((i, group[s][0], len(near[s]), (i, v) == group[s]) for (i, v), s in sigs.items())
+    return found, close, sum(map(len, near.values())) // 2
+
+
 def test_simhash_groups(spark, docs, awkward, none):
-    sigs = op04_simhash.signatures(docs).collect()
-    pairs = {(min(a.doc_id, b.doc_id), max(a.doc_id, b.doc_id)) for i, a in enumerate(sigs) for b in sigs[i + 1 :] if ((a.hi ^ b.hi) % 2**64).bit_count() + ((a.lo ^ b.lo) % 2**64).bit_count() <= op04_simhash.RADIUS}
-    group = {r.doc_id: r.group_id for r in op04_simhash.groups(docs).collect()}
-    together = sum(group[a] == group[b] for a, b in pairs)
-    assert pairs and together >= 0.9 * len(pairs)
-    assert all(g <= i for i, g in group.items())
+    rng = random.Random(8)
+    base = [rng.choices("alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi".split(), k=90) for _ in range(6)]
+    changed = []
+    for k in range(150):
+        w = [x + str(n) for n, x in enumerate(base[k % 6])]
+        for _ in range(rng.randint(0, 8)):
+            w[rng.randrange(len(w))] = f"new{rng.randrange(10**6)}"
+        changed.append((1000 + k // 2, " ".join(w)))
+    some = docs.select("doc_id", "text").union(spark.createDataFrame(changed, "doc_id bigint, text string"))
+    rows = [tuple(r) for r in some.collect()]
+    for bits, hot in ((None, op04_simhash.HOT), (4, 40)):
+        want, close, linked = _simhash_brute_force(rows, bits or op04_simhash.LEAST_BITS)
+        out = op04_simhash.groups(some, bits=bits, hot=hot)
+        assert out.columns == ["doc_id", "group_id", "links", "kept"]
+        assert Counter(map(tuple, out.collect())) == want and linked >= 0.9 * close > 0
     kept = op04_simhash.keep_one(docs)
     assert kept.columns == docs.columns
-    assert {r.doc_id for r in kept.collect()} == {i for i, g in group.items() if i == g}
+    group = {r.doc_id: r.kept for r in op04_simhash.groups(docs).collect()}
+    assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in docs.collect() if group.get(r.doc_id, True)}
     out = op04_simhash.keep_one(awkward)
     assert out.columns == awkward.columns
     # null ids, null, empty and wordless texts stay; the repeated row stays once
@@ -245,6 +305,27 @@ def test_simhash_groups(spark, docs, awkward, none):
     assert op04_simhash.groups(none).count() == 0 and op04_simhash.keep_one(none).count() == 0
 
 
+def test_simhash_keeps_other_texts_of_an_id(spark):
+    a, b, c = ("one two three four five six", "seven eight nine ten eleven twelve", "six five four three two one")
+    df = spark.createDataFrame([(1, a, "x"), (1, b, "y"), (1, a, "w"), (2, c, "z"), (2, None, "n"), (2, None, "n"), (None, a, "v")], "doc_id bigint, text string, `a.b` string")
+    kept = sorted(map(tuple, op04_simhash.keep_one(df).collect()), key=str)
+    # the repeated row stays once, the other text of its id too, and what is the same words under a later id goes
+    assert kept == sorted([(1, a, "w"), (1, b, "y"), (2, None, "n"), (2, None, "n"), (None, a, "v")], key=str)
+    assert Counter(map(tuple, op04_simhash.groups(df).collect())) == Counter([(1, 1, 0, True), (1, 1, 0, True), (2, 1, 0, False)])
+
+
+def test_simhash_hands_on_no_pairs(spark):
+    rng = np.random.default_rng(2)
+    base = rng.integers(-(2**62), 2**62, (1, 2))
+    rows = [(int(i), 0, int(base[0, 0] ^ (1 << int(rng.integers(0, 62)))), int(base[0, 1] ^ (1 << int(i % 62)) ^ (1 << int(i // 62)))) for i in range(1500)]
+    sigs = spark.createDataFrame(rows, "id bigint, version bigint, hi bigint, lo bigint").dropDuplicates(["hi", "lo"])
+    n = sigs.count()
+    tables = op04_simhash.tables_needed()
+    out = op04_simhash.linked(sigs)
+    assert 0 < out.count() <= n * tables
+    assert {r.n for r in out.groupBy("b").agg(F.sum("links").alias("n")).select("n").collect()} == {n - 1}
+
+
 # 5
 def _spans(rows, window):
     first, marks = {}, defaultdict(set)
