@@ -3,20 +3,24 @@
 A record's slot is a hash of its key modulo a fixed number of slots; slots, not
 records, are dealt to shards. Bytes are summed by slot, and rebalancing edits
 the map: shards above the mean give up their last slots, and these fill the
-gaps of the others in order. Each edit is a new version of the stored map.
+gaps of the others in order. Each edit is a new version of the stored map, which
+any later session finds by the store's path and edits further.
 
 Defined results: a null key hashes as the empty string, null texts weigh 0
 bytes, repeated rows are each assigned (alike), an empty table gives an empty
-assignment and leaves the map as it was. Other columns are ignored.
+assignment and leaves the map as it was. Other columns, whatever their names,
+are ignored.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import shared_dir, table
+from pathloom.llm.common import field, name_of, shared_dir, table
 
 SLOTS = 4096
 SHARDS = 64
@@ -29,9 +33,10 @@ def slot_of(key: Column, slots: int = SLOTS) -> Column:
 
 def slot_bytes(df: DataFrame, key: str = "doc_id", text: str = "text", slots: int = SLOTS) -> DataFrame:
     """slot, bytes, records: one row for every slot that has records."""
-    size = F.coalesce(F.octet_length(df[text]), F.lit(0)).cast("bigint")
+    key, text = name_of(df, key), name_of(df, text)
+    size = F.coalesce(F.octet_length(field(df, text)), F.lit(0)).cast("bigint")
     return (
-        df.select(slot_of(df[key], slots).alias("slot"), size.alias("size"))
+        df.select(slot_of(field(df, key), slots).alias("slot"), size.alias("size"))
         .groupBy("slot")
         .agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("records"))
     )
@@ -79,28 +84,50 @@ def rebalance(slot_map: DataFrame, loads: DataFrame, shards: int = SHARDS) -> Da
 
 
 class MapStore:
-    """Versions of a slot map as Parquet folders; a version is never rewritten."""
+    """Versions of a slot map as Parquet folders under a path, which may hold those
+    of earlier sessions. A version is never rewritten: it is written aside and then
+    renamed, which fails if another session has written that version meanwhile."""
 
     def __init__(self, spark: SparkSession, path: str | None = None):
-        self.spark, self.path, self.version = spark, path or shared_dir(spark) + "/slot_map", 0
+        self.spark, self.path = spark, path or shared_dir(spark) + "/slot_map"
+        self.hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+
+    def _at(self, name: str = ""):
+        return self.hadoop.Path(f"{self.path}/{name}" if name else self.path)
+
+    def versions(self) -> list[int]:
+        fs = self._at().getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(self._at()):
+            return []
+        names = [s.getPath().getName() for s in fs.listStatus(self._at())]
+        return sorted(int(n[2:]) for n in names if n.startswith("v=") and n[2:].isdigit())
 
     def save(self, slot_map: DataFrame) -> int:
-        self.version += 1
-        slot_map.coalesce(1).write.parquet(f"{self.path}/v={self.version}")
-        return self.version
+        """The number of the new version."""
+        version = max(self.versions(), default=0) + 1
+        aside = f".new-{uuid.uuid4().hex}"
+        slot_map.coalesce(1).write.parquet(f"{self.path}/{aside}")
+        gateway = self.spark.sparkContext._gateway
+        context = self.hadoop.FileContext.getFileContext(self._at().toUri(), self.spark._jsc.hadoopConfiguration())
+        context.rename(self._at(aside), self._at(f"v={version}"), gateway.new_array(gateway.jvm.org.apache.hadoop.fs.Options.Rename, 0))
+        return version
 
     def load(self, version: int | None = None) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/v={version or self.version}")
+        """That version, or the last."""
+        if version is None:
+            version = max(self.versions(), default=0)
+        return self.spark.read.parquet(f"{self.path}/v={version}")
 
 
 def assign(df: DataFrame, slot_map: DataFrame, version: int, key: str = "doc_id", slots: int = SLOTS) -> DataFrame:
     """key, slot, shard, moved, map_version of every record. The map has a fixed
     number of rows, so it is broadcast."""
+    key = name_of(df, key)
     m = slot_map.select("slot", "shard", "moved")
     return (
-        df.select(df[key].alias(key), slot_of(df[key], slots).alias("slot"))
+        df.select(field(df, key).alias("key"), slot_of(field(df, key), slots).alias("slot"))
         .join(F.broadcast(m), "slot")
-        .select(key, "slot", "shard", "moved", F.lit(version).alias("map_version"))
+        .select(F.col("key").alias(key), "slot", "shard", "moved", F.lit(version).alias("map_version"))
     )
 
 

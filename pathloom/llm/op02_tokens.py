@@ -8,8 +8,8 @@ keys touches only pages that may hold them.
 
 Defined results: a null text has null tokens and a null count, an empty text an
 empty list and 0; repeated rows and null keys are written as they come (null
-keys first); an empty table is an empty dataset. Extra columns are ignored,
-unless named as metadata; one called token_ids or n_tokens is an error.
+keys first); an empty table is an empty dataset. Extra columns, whatever their
+names, are ignored, unless named as metadata; one called token_ids or n_tokens is an error.
 """
 
 from __future__ import annotations
@@ -21,9 +21,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pathloom.llm import bpe
-from pathloom.llm.common import map_batches, name_of, shared_dir, table
+from pathloom.llm.common import field, map_batches, name_of, shared_dir, table
 
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 64 << 10
@@ -78,15 +79,15 @@ def tokenize(df: DataFrame, key: str = "doc_id", text: str = "text", metadata: I
 
         return fn
 
-    some = df.select(df[key], *[df[m] for m in metadata], df[text])
-    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in some.schema[:width])
-    return map_batches(some, make, f"{names}, n_tokens int, token_ids array<int>", rows=200)
+    some = df.select(*[field(df, c) for c in (key, *metadata, text)])
+    schema = T.StructType([*some.schema.fields[:width], T.StructField("n_tokens", T.IntegerType()), T.StructField("token_ids", T.ArrayType(T.IntegerType()))])
+    return map_batches(some, make, schema, rows=200)
 
 
 def write(tokens: DataFrame, path: str, key: str = "doc_id", delta: bool = False) -> None:
     """delta: tokens delta encoded rather than by dictionary."""
     (
-        tokens.sortWithinPartitions(key)
+        tokens.sortWithinPartitions(field(tokens, key))
         .write.option("compression", "zstd")
         .option("parquet.writer.version", "v2")
         .option("parquet.block.size", ROW_GROUP_BYTES)
@@ -110,7 +111,7 @@ class TokenSet:
 
     def of(self, keys: list) -> DataFrame:
         """Rows with these keys; the filter reaches row groups and page indexes."""
-        return self.df.where(F.col(self.key).isin(keys))
+        return self.df.where(field(self.df, self.key).isin(keys))
 
 
 def op2_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

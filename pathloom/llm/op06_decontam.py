@@ -14,8 +14,8 @@ Words are maximal runs of letters, digits and underscores, lower-cased. Offsets
 count characters of the whole text.
 
 Defined results: null and empty texts and items have no spans; repeated rows
-give theirs each; null ids are carried; either table may be empty. Extra columns
-are ignored by find_spans and kept by cut.
+give theirs each; null ids are carried; either table may be empty. Extra columns,
+whatever their names, are ignored by find_spans and kept by cut.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from pathloom.llm.common import SIDE_BYTES, name_of, side_slices, table, with_fresh
+from pathloom.llm.common import SIDE_BYTES, field, map_arrow, name_of, side_slices, table, with_fresh
 
 N = 8
 LEAST = 5
@@ -241,10 +241,11 @@ def shards(batches: Iterator[pa.RecordBatch], where: int, phrases: Phrases, shar
 def _all_but_last(df: DataFrame, benchmark: DataFrame, where: int, item: str, item_text: str, n: int, shard_words: int, side_bytes: int) -> tuple[DataFrame, int | None, Phrases]:
     """df with the hits of all slices but the last, the number of their column
     (None for a single slice), and the last slice's phrases."""
-    item_type = benchmark.schema[name_of(benchmark, item)].dataType
+    item, item_text = name_of(benchmark, item), name_of(benchmark, item_text)
+    item_type = benchmark.schema[item].dataType
     hits_type = T.ArrayType(T.StructType().add("w", T.IntegerType()).add("m", T.IntegerType()).add("items", T.ArrayType(item_type)))
     carried, phrases = None, None
-    for rows in side_slices(benchmark.select(item, item_text), item_text, side_bytes):
+    for rows in side_slices(benchmark.select(field(benchmark, item).alias("item"), field(benchmark, item_text).alias("text")), "text", side_bytes):
         if phrases is not None:
 
             def run(batches: Iterator[pa.RecordBatch], phrases=phrases, carried=carried) -> Iterator[pa.RecordBatch]:
@@ -258,10 +259,10 @@ def _all_but_last(df: DataFrame, benchmark: DataFrame, where: int, item: str, it
 
             if carried is None:
                 hits_name = with_fresh(df, "hits")
-                df = df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(hits_name, hits_type)]))
+                df = map_arrow(df, run, T.StructType([*df.schema.fields, T.StructField(hits_name, hits_type)]))
                 carried = len(df.columns) - 1
             else:
-                df = df.mapInArrow(run, df.schema)
+                df = map_arrow(df, run, df.schema)
         phrases = Phrases([tuple(r) for r in rows], n)
     return df, carried, phrases
 
@@ -273,7 +274,7 @@ def find_spans(
     key, text = name_of(df, key), name_of(df, text)
     kind = df.schema[key].dataType.simpleString()
     items_type = T.ArrayType(benchmark.schema[name_of(benchmark, item)].dataType)
-    df, carried, phrases = _all_but_last(df.select(df[key].alias("key"), df[text].alias("text")), benchmark, 1, item, item_text, n, shard_words, side_bytes)
+    df, carried, phrases = _all_but_last(df.select(field(df, key).alias("key"), field(df, text).alias("text")), benchmark, 1, item, item_text, n, shard_words, side_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held, texts, hits in shards(batches, 1, phrases, shard_words, carried):
@@ -284,7 +285,7 @@ def find_spans(
             cols[0] = pa.concat_arrays(cols[0].chunks) if isinstance(cols[0], pa.ChunkedArray) else cols[0]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(items, to_arrow_type(items_type))], ["key", "start", "end", "items"])
 
-    return df.mapInArrow(run, f"key {kind}, start int, end int, items {items_type.simpleString()}").withColumnRenamed("key", key)
+    return map_arrow(df, run, f"key {kind}, start int, end int, items {items_type.simpleString()}").withColumnRenamed("key", key)
 
 
 def cut(
@@ -316,7 +317,7 @@ def cut(
                 base += b.num_rows
                 yield pa.RecordBatch.from_arrays(cols, b.schema.names[:carried])
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)
 
 
 def op6_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ Words are maximal runs of letters, digits and underscores, lower-cased.
 Defined results: null and empty texts match nothing (and nulls don't count as
 documents), repeated documents take a place each, repeated queries are each
 answered, null ids come last among ties; either table may be empty. Other
-columns are ignored.
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import name_of, side_slices, table
+from pathloom.llm.common import field, name_of, side_slices, table
 
 K = 10
 K1, B, SCALE = 1.2, 0.75, 1e6
@@ -85,11 +85,12 @@ def best(scores: np.ndarray, k: int) -> np.ndarray:
 
 def search(df: DataFrame, queries: DataFrame, k: int = K, key: str = "doc_id", text: str = "text", query: str = "item_id", query_text: str = "text") -> DataFrame:
     """query, rank, key, score: the k best documents of each query."""
-    key, text, query = name_of(df, key), name_of(df, text), name_of(queries, query)
+    key, text = name_of(df, key), name_of(df, text)
+    query, query_text = name_of(queries, query), name_of(queries, query_text)
     kind = df.schema[key].dataType.simpleString()
-    docs = df.select(df[key].alias("key"), df[text].alias("text"))
+    docs = df.select(field(df, key).alias("key"), field(df, text).alias("text"))
     out = None
-    for rows in side_slices(queries.select(query, query_text), query_text):
+    for rows in side_slices(queries.select(field(queries, query).alias("query"), field(queries, query_text).alias("text")), "text"):
         counted = [Counter(WORD.findall((r[1] or "").lower())) for r in rows]
         vocab: dict[str, int] = {}
         for c in counted:

@@ -15,18 +15,20 @@ by find_spans and kept by redact, whatever their names.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from pathloom.llm.common import map_batches, name_of, table
+from pathloom.llm.common import field, map_batches, name_of, table
 
 THRESHOLD = 0.5
 BEFORE, AFTER = 40, 20
 
 DOMAIN = re.compile(r"(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![A-Za-z0-9])")
-LOCAL = re.compile(r"[\w%+-][\w.%+-]*\Z")
+#: The end of what may stand before the @ of an address, read backwards in pieces.
+LOCAL_END, PIECE = re.compile(r"[\w.%+-]*\Z"), 64
 #: Runs of characters that numbers are written with; all numeric kinds lie within one.
 CLUSTER = re.compile(r"[\d(+][\d ().+-]{6,}")
 IPV4 = re.compile(r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d)")
@@ -34,11 +36,14 @@ SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")
 PHONE = re.compile(r"(?<![\w)])\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\w)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])")
 #: Of no fixed length, so its end is found by trying group bounds, as a card's is.
 WORLD_PHONE = re.compile(r"(?<!\w)\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\w)")
+LONGEST_PHONE = 40
 CARD = re.compile(r"(?<![\w-])\d(?:[ -]?\d){12,18}(?!\w)")
 #: Groups of digits that cards are printed in.
 CARD_GROUPS = {(4, 4, 4, 4), (4, 6, 5), (4, 6, 4)}
-IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}")
-SECRET = re.compile(r"(?<!\w)(?:(?P<prefixed>AKIA[0-9A-Z]{16}|gh[opsu]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64})|[0-9a-f]{32,128}|[0-9A-F]{32,128})(?!\w)")
+IBAN = re.compile(r"(?<!\w)(?:[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}|[a-z]{2}\d{2}(?: ?[a-z0-9]){11,30})")
+#: Small letters are taken for an IBAN in one piece or in groups of four only.
+FOURS = re.compile(r"(?:[a-z0-9]{4} )*[a-z0-9]{1,4}|[a-z0-9]+")
+SECRET = re.compile(r"(?<!\w)(?:(?P<prefixed>AKIA[0-9A-Z]{16}|gh[opsu]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,})|[0-9a-f]{32,}|[0-9A-F]{32,})(?!\w)")
 #: Lengths of IBANs by country, of the registry.
 IBAN_LENGTH = {
     c: int(n)
@@ -129,40 +134,77 @@ def _numbers(text: str, start: int, stop: int):
             elif not after_plus:
                 loose.append(("card", a, b))
     world = [(m.start(), _ends("phone", WORLD_PHONE, text, m)) for m in _each(WORLD_PHONE, text, start, stop)]
+    for k, a, b in loose:
+        firm.sort(key=lambda f: f[1:])
+    starts, reach = _reach([f[1:] for f in firm])
+    world = [(s, p) for s, p in world if p]
+    begins, shortest = _reach([(s, p[-1]) for s, p in world])
     for k, a, b in loose:
         # no card begins within a phone, unless a whole phone is left before it
-        if all(b <= x or a >= y for _, x, y in firm) and all(not p or not s < a < p[0] or p[-1] <= a for s, p in world):
+        i, j = bisect_left(starts, b), bisect_left(begins, a)
+        if (i == 0 or reach[i - 1] <= a) and (j == 0 or shortest[j - 1] <= a):
             yield k, a, b
-            world = [(s, [e for e in p if not a < e < b]) for s, p in world]
+            while j and begins[j - 1] > a - LONGEST_PHONE:
+                j -= 1
+            while j < len(world) and begins[j] < b:
+                world[j] = (world[j][0], [e for e in world[j][1] if not a < e < b])
+                j += 1
     phones = []
     for s, p in world:
-        end = next((e for e in p if not any(s < x < e < y for _, x, y in firm)), None)
-        if end:
-            phones.append((s, end))
-            yield "phone", s, end
+        for end in p:
+            i, j = bisect_right(starts, s), bisect_left(starts, end)
+            if i == j or all(firm[x][2] <= end for x in range(i, j)):
+                phones.append((s, end))
+                yield "phone", s, end
+                break
+    begins, reach = _reach(phones)
     for k, a, b in firm:
-        if k != "phone" or not any(s <= a and b <= e for s, e in phones):
+        i = bisect_right(begins, a)
+        if k != "phone" or i == 0 or reach[i - 1] < b:
             yield k, a, b
 
 
+def _reach(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Starts of spans in order of start, and the furthest end up to each."""
+    return [s for s, _ in spans], list(accumulate((e for _, e in spans), max))
+
+
 def _iban_end(text: str, m: re.Match) -> int | None:
     """Where an IBAN ends: at its country's length, or for an unlisted country at
-    the longest end that mod-97 confirms."""
-    want, n, ends = IBAN_LENGTH.get(m[0][:2]), 0, []
+    the longest end that mod-97 confirms. Small letters need a listed country."""
+    want, n, ends = IBAN_LENGTH.get(m[0][:2].upper()), 0, []
+    small = m[0][0].islower()
+    if small and not want:
+        return None
     for end, c in enumerate(m[0], m.start() + 1):
         n += c != " "
         if c != " " and (n == want if want else n >= 15) and not text[end : end + 1].isalnum():
             ends.append(end)
+    ends = [e for e in ends if not small or FOURS.fullmatch(text, m.start(), e)]
     return next((e for e in reversed(ends) if mod97(text[m.start() : e].replace(" ", ""))), None)
 
 
+def _local_start(text: str, at: int) -> int:
+    """Where the local part of an address with its @ at `at` begins; `at` if there is none."""
+    lo = at
+    while lo:
+        from_ = max(0, lo - PIECE)
+        n = lo - LOCAL_END.search(text, from_, lo).start()
+        lo -= n
+        if n < PIECE:
+            break
+    while lo < at and text[lo] == ".":
+        lo += 1
+    return lo
+
+
 def _candidates(text: str):
     at = text.find("@")
     while at >= 0:
-        m = LOCAL.search(text, max(0, at - 64), at)
         d = DOMAIN.match(text, at + 1)
-        if m and d:
-            yield "email", m.start(), d.end(), BASE["email"]
+        start = _local_start(text, at) if d else at
+        if start < at:
+            yield "email", start, d.end(), BASE["email"]
         at = text.find("@", at + 1)
     ibans = []
     m = IBAN.search(text)
@@ -170,7 +212,7 @@ def _candidates(text: str):
         end = _iban_end(text, m)
         if end:
             ibans.append((m.start(), end))
-            yield "iban", m.start(), end, BASE["iban"] if m[0][:2] in IBAN_LENGTH else UNLISTED_IBAN
+            yield "iban", m.start(), end, BASE["iban"] if m[0][:2].upper() in IBAN_LENGTH else UNLISTED_IBAN
         m = IBAN.search(text, end or m.start() + 1)
     for m in CLUSTER.finditer(text):
         # two more characters for what the patterns look ahead to
@@ -223,7 +265,7 @@ def find_spans(df: DataFrame, key: str = "doc_id", text: str = "text", threshold
 
         return fn
 
-    out = map_batches(df.select(df[key].alias("key"), df[text].alias("text")), make, f"key {kind}, kind string, start int, end int, score double")
+    out = map_batches(df.select(field(df, key).alias("key"), field(df, text).alias("text")), make, f"key {kind}, kind string, start int, end int, score double")
     return out.withColumnRenamed("key", key)
 
 
