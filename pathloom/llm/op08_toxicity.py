@@ -1,21 +1,24 @@
 """Toxicity with noisy-channel deobfuscation.
 
-A character trigram model is counted over the words of all documents. A word
-that may be disguised becomes a lattice: digits and signs stand for letters,
-repeated letters for one or two, signs between letters for nothing, and letters
-standing alone in a row for words. Viterbi decoding finds its likeliest
-spelling. A logistic regression with an L1 penalty over words and beginnings of
-words (weights not negative), fitted on a bounded sample of labelled rows,
-scores the restored words.
-
-Only words that can stand for something the classifier weighs are decoded: the
-others cannot change the score, so this is exact. In scoring, plain words with a
-doubled letter that hit nothing as they stand are decoded too.
+A character trigram model is counted over the words of all documents, of
+whatever script. A word that may be disguised becomes a lattice: digits and signs
+stand for letters, repeated letters for one or two, signs between letters for
+nothing, and letters standing alone in a row for words. Viterbi decoding finds
+its likeliest spelling; a plain word with a doubled letter counts as it stands
+and as decoded. A logistic regression with an L1 penalty over words and
+beginnings of words (weights not negative), fitted on a bounded sample of
+labelled rows, scores the restored words. Fitting and scoring restore words by
+the same function.
+
+Scoring passes over words that cannot stand for anything the classifier weighs:
+those whose first two characters, neither of which can be dropped, don't begin it
+in any reading.
 
 Defined results: a null or empty text has no evidence, probability 0 and is not
-toxic; repeated rows are scored alike; with no labels of both kinds nothing is
-toxic; an empty table gives an empty result. Other columns are ignored by score
-and kept by the filter.
+toxic; repeated rows are scored alike; a probability is rounded before it is held
+against the threshold, which it may equal; with no labels of both kinds nothing
+is toxic; an empty table gives an empty result. Other columns, whatever their
+names, are ignored by score and kept by the filter.
 """
 
 from __future__ import annotations
@@ -29,12 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import map_batches, materialize, name_of, table
+from pathloom.llm.common import field, map_batches, materialize, name_of, table
 
 #: Most labelled rows that the classifier is fitted on (those least by hash of id).
 SAMPLE_ROWS = 6000
-#: Letters of the character model; rarer ones share a place.
-LETTERS = 62
+#: Letters, bigrams and trigrams with a lesser share of all share a place, so there are at most 1/SHARE of each.
+SHARE = 1e-6
+#: Log probabilities and words that a task remembers before it starts afresh.
+REMEMBERED = 200_000
 PREFIXES = range(3, 9)
 L1 = 0.0005
 THRESHOLD = 0.5
@@ -45,24 +50,52 @@ ALONE = re.compile(r"(?<!\S)\S(?:\s\S){2,}(?!\S)")
 PLAIN = re.compile(r"[^\W\d_]+")
 RUN = re.compile(r"(.)\1*", re.S)
 LONG = re.compile(r"(.)\1\1")
+DOUBLED = re.compile(r"(.)\1")
+STRIPPED = ".,;:?\"'()"
 
 
 class CharModel:
-    """Trigram log probabilities over at most LETTERS letters, the rest and the
-    word's end; interpolated with the lower orders."""
+    """Trigram log probabilities over the letters, place 1 for all others and 0 for
+    a word's ends; interpolated with the lower orders. cells are numbers of
+    trigrams (three places in base of all places), counts theirs."""
 
-    def __init__(self, letters: str, counts: np.ndarray):
-        n = len(letters) + 2
+    def __init__(self, letters: str, cells: np.ndarray, counts: np.ndarray):
+        n = self.n = len(letters) + 2
         self.at = {c: i + 2 for i, c in enumerate(letters)}
-        tri = counts.reshape(n, n, n).astype(np.float64)
-        bi, uni = tri.sum(0), tri.sum((0, 1))
-        p1 = (uni + 1) / (uni.sum() + n)
-        p2 = (bi + 20 * p1) / (bi.sum(1, keepdims=True) + 20)
-        self.lp = np.log((tri + 20 * p2) / (tri.sum(2, keepdims=True) + 20)).astype(np.float32).tolist()
+        self.tri = dict(zip(cells.tolist(), counts.tolist()))
+        self.context: Counter = Counter()
+        self.bi: Counter = Counter()
+        self.before: Counter = Counter()
+        uni = np.ones(n)
+        for cell, m in self.tri.items():
+            b, c = divmod(cell % (n * n), n)
+            self.context[cell // n] += m
+            self.bi[b * n + c] += m
+            self.before[b] += m
+            uni[c] += m
+        self.uni = (uni / uni.sum()).tolist()
+        self.known: dict[int, float] = {}
+
+    def __getstate__(self):
+        return self.__dict__ | {"known": {}}
+
+    def log_p(self, a: int, b: int, c: int) -> float:
+        """Of place c after places a and b."""
+        n = self.n
+        cell = (a * n + b) * n + c
+        lp = self.known.get(cell)
+        if lp is None:
+            p2 = (self.bi.get(b * n + c, 0) + 20 * self.uni[c]) / (self.before.get(b, 0) + 20)
+            lp = math.log((self.tri.get(cell, 0) + 20 * p2) / (self.context.get(cell // n, 0) + 20))
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            self.known[cell] = lp
+        return lp
 
     def decode(self, word: str, alone: bool = False) -> list[str]:
         """The likeliest words for a token, or for letters that stand alone."""
         beam: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+        lp = self.log_p
         runs = [(m[1], m.end() - m.start()) for m in RUN.finditer(word)]
         for k, (c, r) in enumerate(runs):
             options = []
@@ -82,22 +115,23 @@ class CharModel:
                         for gap in (False, True) if alone and b and x and k else (False,):
                             t, p, q, o = s - cost - fold, a, b, out
                             if gap:
-                                t, p, q, o = t - GAP + self.lp[p][q][0], 0, 0, o + " "
+                                t, p, q, o = t - GAP + lp(p, q, 0), 0, 0, o + " "
                             if x:
                                 i = self.at.get(x, 1)
                                 for _ in range(times):
-                                    t, p, q = t + self.lp[p][q][i], q, i
+                                    t, p, q = t + lp(p, q, i), q, i
                                 o += x * times
                             if (p, q) not in new or t > new[p, q][0]:
                                 new[p, q] = (t, o)
             beam = new
-        best = max(((s + self.lp[a][b][0], out) for (a, b), (s, out) in beam.items()), default=(0, ""))
+        best = max(((s + lp(a, b, 0), out) for (a, b), (s, out) in beam.items()), default=(0, ""))
         return best[1].split()
 
 
 def char_model(df: DataFrame, text: str = "text") -> CharModel:
-    """Counted over the words of every row. What reaches the driver is one
-    number for each letter, then for each trigram of the kept letters."""
+    """Counted over the words of every row. What reaches the driver is a number for
+    each letter and each trigram with a share of SHARE; the first letter of a rarer
+    trigram, and the second of one that is rare even so, count as others."""
     text = name_of(df, text)
 
     def make():
@@ -127,36 +161,50 @@ def char_model(df: DataFrame, text: str = "text") -> CharModel:
 
         return fn
 
-    counts = map_batches(df.select(df[text].alias("t")), make, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+    counts = map_batches(df.select(field(df, text).alias("t")), make, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
     counts = materialize(counts, "char_trigrams")
-    third = F.expr("cast(key & 2097151 as int)")
-    top = counts.where(third != 0).groupBy(third.alias("c")).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "c").limit(LETTERS).collect()
-    letters = "".join(chr(r.c) for r in top)
+    spark = df.sparkSession
+    least = SHARE * (counts.agg(F.sum("n")).first()[0] or 0)
+
+    def code(shift: int):
+        return F.expr(f"cast(shiftright(key, {shift}) & 2097151 as int)")
+
+    letter = counts.groupBy(code(0).alias("c")).agg(F.sum("n").alias("n")).where((F.col("c") != 0) & (F.col("n") >= least))
+    letters = sorted(r.c for r in letter.collect())
+    places = spark.createDataFrame([(0, 0), *((c, i + 2) for i, c in enumerate(letters))], "code int, place int")
+    for name, shift in (("a", 42), ("b", 21), ("c", 0)):
+        own = places.select(F.col("code").alias(f"{name}_code"), F.col("place").alias(name))
+        counts = counts.join(F.broadcast(own), code(shift) == F.col(f"{name}_code"), "left").withColumn(name, F.coalesce(name, F.lit(1)))
+    counts = counts.groupBy("a", "b", "c").agg(F.sum("n").alias("n"))
+    for name in ("a", "b"):
+        counts = counts.withColumn(name, F.when((F.col("n") < least) & (F.col("a") <= 1 if name == "b" else F.lit(True)) & (F.col(name) > 1), 1).otherwise(F.col(name)))
+        counts = counts.groupBy("a", "b", "c").agg(F.sum("n").alias("n"))
     n = len(letters) + 2
-    place = F.lit(1)
-    codes = F.create_map(*[x for i, c in enumerate(letters) for x in (F.lit(ord(c)), F.lit(i + 2))], F.lit(0), F.lit(0))
+    found = counts.select(F.expr(f"(cast(a as bigint) * {n} + b) * {n} + c").alias("cell"), "n").orderBy("cell").toArrow()
+    return CharModel("".join(map(chr, letters)), found["cell"].to_numpy(), found["n"].to_numpy())
 
-    def at(shift: int):
-        c = F.expr(f"cast(shiftright(key, {shift}) & 2097151 as int)")
-        return F.coalesce(F.try_element_at(codes, c), place)
 
-    cells = counts.groupBy((at(42) * n * n + at(21) * n + at(0)).alias("cell")).agg(F.sum("n").alias("n")).collect()
-    table_ = np.zeros(n**3, dtype=np.int64)
-    for r in cells:
-        table_[r.cell] = r.n
-    return CharModel(letters, table_)
+def restored(token: str, model: CharModel) -> list[str]:
+    """The words that a token, already in small letters, stands for."""
+    s = token.strip(STRIPPED)
+    if not any(c.isalpha() for c in s):
+        return [s]
+    if PLAIN.fullmatch(s) and not LONG.search(s):
+        again = model.decode(s) if DOUBLED.search(s) else [s]
+        return [s] if again == [s] else [s, *again]
+    return model.decode(s)
+
+
+def restored_alone(low: str, model: CharModel) -> list[str]:
+    """The words that letters standing alone spell."""
+    return [w for m in ALONE.finditer(low) for w in model.decode("".join(m[0].split()), alone=True)]
 
 
 def tokens(text: str, model: CharModel) -> list[str]:
-    """All restored words of a text; slower than Scorer, which decodes only what matters."""
-    out = []
+    """All restored words of a text."""
     low = text.lower()
-    for w in low.split():
-        s = w.strip(".,;:?\"'()")
-        out += [s] if (PLAIN.fullmatch(s) and not LONG.search(s)) or not any(c.isalpha() for c in s) else model.decode(s)
-    for m in ALONE.finditer(low):
-        out += model.decode("".join(m[0].split()), alone=True)
-    return out
+    known = {w: restored(w, model) for w in set(low.split())}
+    return [x for w in low.split() for x in known[w]] + restored_alone(low, model)
 
 
 def features(word: str) -> list[str]:
@@ -171,25 +219,19 @@ class Classifier:
         if not hits:
             return 0.0
         z = self.bias + self.by_length * math.log1p(n_words) + sum(self.weights[f] * math.log1p(n) for f, n in sorted(hits.items()))
-        return 1 / (1 + math.exp(-max(-50.0, min(50.0, z))))
+        return round(1 / (1 + math.exp(-max(-50.0, min(50.0, z)))), 6)
 
 
-def fit(rows: list[tuple[list[str], int, int]], l1: float = L1, steps: int = 400) -> Classifier:
-    """rows: restored words, number of words, label. Accelerated proximal
-    gradient on the likelihood; classes weigh as they come."""
+def fit(names: list[str], rows: list[tuple[dict[int, int], int, int]], l1: float = L1, steps: int = 400) -> Classifier:
+    """rows: how often each feature of names occurs, number of words, label.
+    Accelerated proximal gradient on the likelihood; classes weigh as they come."""
     y = np.array([r[2] for r in rows], dtype=np.float64)
     pos, neg = y.sum(), len(y) - y.sum()
     if not pos or not neg:
         return Classifier({}, -50.0, 0.0)
-    seen: dict[bool, Counter] = {True: Counter(), False: Counter()}
-    for r in rows:
-        seen[bool(r[2])].update({f for w in set(r[0]) for f in features(w)})
-    names = sorted(f for f, n in seen[True].items() if n >= 3 and (n + 0.5) / (pos + 1) >= 4 * (seen[False][f] + 0.5) / (neg + 1))
-    del seen
-    index = {f: i for i, f in enumerate(names)}
     ii, jj, vv = [], [], []
     for i, r in enumerate(rows):
-        for j, n in Counter(index[f] for w in r[0] for f in features(w) if f in index).items():
+        for j, n in r[0].items():
             ii.append(i), jj.append(j), vv.append(math.log1p(n))
     ii, jj, vv = np.array(ii, dtype=np.int64), np.array(jj, dtype=np.int64), np.array(vv)
     length = np.log1p([r[1] for r in rows])
@@ -225,24 +267,19 @@ class Scorer:
             if not f:  # of signs only, which are looked at anyway
                 continue
             one, two = forms.get(f[0], {f[0]}), forms.get(f[1:2], {f[1:2]})
+            # the first character may also stand for the first letter twice, or as one of several
             self.heads |= {a + b for a in one for b in two | one}
-        self.firsts = {h[0] for h in self.heads}
 
-    def _words(self, token: str) -> list[str]:
-        s = token.strip(".,;:?\"'()")
-        if not any(c.isalpha() for c in s):
-            return [s]
-        if PLAIN.fullmatch(s) and not LONG.search(s):
-            if any(f in self.classifier.weights for f in features(s)) or not any(a == b for a, b in zip(s, s[1:])):
-                return [s]
-        return self.model.decode(s)
+    def __getstate__(self):
+        return self.__dict__ | {"known": {}}
 
     def _hits(self, token: str) -> list[str]:
         h = self.known.get(token)
         if h is None:
-            h = [f for w in self._words(token) for f in features(w) if f in self.classifier.weights]
-            if len(self.known) < 200_000:
-                self.known[token] = h
+            h = [f for w in restored(token, self.model) for f in features(w) if f in self.classifier.weights]
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            self.known[token] = h
         return h
 
     def probability(self, text: str | None) -> float:
@@ -254,28 +291,54 @@ class Scorer:
         for w in words:
             if w[:2] in heads or not w[0].isalnum() or not w[1:2].isalnum():
                 hits.update(self._hits(w))
-        for m in ALONE.finditer(low):
-            for w in self.model.decode("".join(m[0].split()), alone=True):
-                hits.update(f for f in features(w) if f in self.classifier.weights)
+        for w in restored_alone(low, self.model):
+            hits.update(f for f in features(w) if f in self.classifier.weights)
         return self.classifier.probability(hits, len(words))
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = SAMPLE_ROWS) -> Scorer:
+    """What reaches the driver is the sample's features that tell toxic from clean,
+    and how often each row has them; restored texts stay in a written table."""
     model = char_model(docs, text)
-    pick = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).alias("y"))
-    pick = materialize(pick.orderBy(F.xxhash64(key), key).limit(rows), "toxicity_sample")
-    some = docs.select(docs[key].alias(key), docs[text].alias("t")).join(F.broadcast(pick), key).where("t is not null")
+    key, text = name_of(docs, key), name_of(docs, text)
+    of, label = field(labels, name_of(labels, key)), field(labels, name_of(labels, label))
+    pick = labels.where(label.isNotNull() & of.isNotNull()).groupBy(of.alias("of")).agg(F.max(label).cast("int").alias("y"))
+    pick = materialize(pick.orderBy(F.xxhash64("of"), "of").limit(rows), "toxicity_sample")
+    some = docs.select(field(docs, key).alias("key"), field(docs, text).alias("t")).join(F.broadcast(pick), F.col("key") == F.col("of")).where("t is not null")
 
-    def make():
+    def restore():
+        def fn(b: pa.RecordBatch):
+            texts = b.column(0).to_pylist()
+            found = [Counter(f for w in tokens(t, model) for f in features(w)) for t in texts]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([list(c) for c in found], pa.list_(pa.string())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32())), pa.array([len(t.lower().split()) for t in texts], pa.int32()), b.column(1)],
+                ["features", "times", "words", "y"],
+            )
+
+        return fn
+
+    read = materialize(map_batches(some.select("t", "y"), restore, "features array<string>, times array<int>, words int, y int", rows=50), "toxicity_words")
+    kinds = {r.y: r["count"] for r in read.groupBy("y").count().collect()}
+    pos, neg = kinds.get(1, 0), sum(n for y, n in kinds.items() if y != 1)
+    if not pos or not neg:
+        return Scorer(model, fit([], [({}, 0, y) for y in kinds]))
+    seen = read.select((F.col("y") == 1).cast("int").alias("y"), F.explode("features").alias("f")).groupBy("f").agg(F.sum("y").alias("on"), F.sum(1 - F.col("y")).alias("off"))
+    names = sorted(r.f for r in seen.where(F.expr(f"on >= 3 and (on + 0.5D) / {pos + 1} >= 4 * (off + 0.5D) / {neg + 1}")).select("f").collect())
+    index = {f: i for i, f in enumerate(names)}
+
+    def pick_out():
         def fn(b: pa.RecordBatch):
-            out = [tokens(t, model) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.string())), b.column(1)], ["words", "y"])
+            hits = [[(index[f], n) for f, n in zip(fs, ns) if f in index] for fs, ns in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([[i for i, _ in h] for h in hits], pa.list_(pa.int32())), pa.array([[n for _, n in h] for h in hits], pa.list_(pa.int32())), b.column(2), b.column(3)], ["which", "times", "words", "y"]
+            )
 
         return fn
 
-    got = map_batches(some.select("t", F.col("y").cast("int").alias("y")), make, "words array<string>, y int").toArrow()
-    words, ys = got.column(0).to_pylist(), got.column(1).to_pylist()
-    return Scorer(model, fit([(w, len(w), y) for w, y in zip(words, ys)]))
+    got = map_batches(read, pick_out, "which array<int>, times array<int>, words int, y int").toArrow()
+    rows_ = [(dict(zip(w, n)), m, int(y == 1)) for w, n, m, y in zip(*(got.column(i).to_pylist() for i in range(4)))]
+    # the order of rows doesn't matter but for rounding
+    return Scorer(model, fit(names, sorted(rows_, key=lambda r: (r[2], r[1], sorted(r[0].items())))))
 
 
 def score(df: DataFrame, scorer: Scorer, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -284,13 +347,13 @@ def score(df: DataFrame, scorer: Scorer, key: str = "doc_id", text: str = "text"
 
     def make():
         def fn(b: pa.RecordBatch):
-            p = [round(scorer.probability(t), 6) for t in b.column(1).to_pylist()]
+            p = [scorer.probability(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p, pa.float64()), pa.array([x >= threshold for x in p], pa.bool_())], ["key", "probability", "toxic"])
 
         return fn
 
     kind = df.schema[key].dataType.simpleString()
-    out = map_batches(df.select(df[key].alias("key"), df[text].alias("text")), make, f"key {kind}, probability double, toxic boolean")
+    out = map_batches(df.select(field(df, key).alias("key"), field(df, text).alias("text")), make, f"key {kind}, probability double, toxic boolean")
     return out.withColumnRenamed("key", key)
 
 

@@ -499,9 +499,33 @@ def test_toxicity(spark, awkward, none):
     nothing = op08_toxicity.train(none, labels)
     assert nothing.probability("idiot") == 0.0
     one_kind = op08_toxicity.train(docs, labels.where("toxic = 0"))
+    assert op08_toxicity.train(docs.where("doc_id < 0"), labels).probability("idiot") == 0.0
     assert op08_toxicity.score(docs, one_kind).where("toxic").count() == 0
 
 
+def test_char_model_knows_all_scripts(spark):
+    rows = [(i, t) for i, t in enumerate(["to be or not", "быть или не быть", "είναι ή δεν είναι", "a" * 300, "", None])]
+    model = op08_toxicity.char_model(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert set("tobernыльиδίναι") <= set(model.at)
+    seen: Counter = Counter()
+    for _, t in rows:
+        for w in (t or "").split():
+            codes = [0, 0, *(model.at[c] for c in w), 0]
+            seen.update(zip(codes, codes[1:], codes[2:]))
+    n = model.n
+    assert model.tri == {(a * n + b) * n + c: m for (a, b, c), m in seen.items()}
+    total = sum(math.exp(model.log_p(model.at["б"], model.at["ы"], c)) for c in range(n))
+    assert abs(total - 1) < 1e-9
+    rare = op08_toxicity.SHARE
+    try:
+        op08_toxicity.SHARE = 0.02
+        few = op08_toxicity.char_model(spark.createDataFrame(rows, "doc_id bigint, text string"))
+        assert len(few.at) < len(model.at) and sum(few.tri.values()) == sum(model.tri.values())
+        assert len(few.tri) < len(model.tri)
+    finally:
+        op08_toxicity.SHARE = rare
+
+
 def test_scorer_looks_at_every_word_that_counts():
     letters = "etaoinshrdlumw"
     n = len(letters) + 2
@@ -512,7 +536,7 @@ def test_scorer_looks_at_every_word_that_counts():
         codes = [0, 0, *(place[c] for c in w), 0]
         for x in zip(codes, codes[1:], codes[2:]):
             counts[x] += 1
-    model = op08_toxicity.CharModel(letters, counts)
+    model = op08_toxicity.CharModel(letters, np.flatnonzero(counts), counts[counts > 0])
     weights = {f: 1.0 for w in ("idiot", "moron", "worthless", "a") for f in op08_toxicity.features(w)} | {"$": 0.5, "$$$": 0.5, "123$": 0.5}
     classifier = op08_toxicity.Classifier(weights, -3.0, 0.1)
     signs = ".-_*~'#%&/\\^,:;=+?)[]{}<>\"`!(|$@€¡£·•\u200b\u00ad…–«»°§"
@@ -527,15 +551,14 @@ def test_scorer_looks_at_every_word_that_counts():
         if sign not in op08_toxicity.LEET:
             assert want(text) > 0.4, text
     scorer = op08_toxicity.Scorer(model, classifier)
+    for text in ("idioot", "iddiot", "iidiot", "moroon", "wwoorrtthhlleessss"):
+        assert scorer.probability(text) == want(text) > 0.1, text
     leet = {"o": "0", "i": "1!|", "e": "3", "s": "5$", "t": "7+"}
     for _ in range(3000):
         words = []
         for _ in range(rng.randint(1, 4)):
             w = rng.choice(("idiot", "moron", "worthless", "other", "a", "123", "$$$", "..."))
-            w = "".join(rng.choice(leet.get(c, c) + c) * rng.choice((1, 1, 1, 3)) + (rng.choice(signs) if rng.random() < 0.4 else "") for c in w)
-            # plain words with a doubled letter are decoded in scoring only
-            if not (op08_toxicity.PLAIN.fullmatch(w.strip(signs)) and re.search(r"(.)\1", w)):
-                words.append(w)
+            words.append("".join(rng.choice(leet.get(c, c) + c) * rng.choice((1, 1, 2, 3)) + (rng.choice(signs) if rng.random() < 0.4 else "") for c in w))
         text = rng.choice((" ", "\n", "\t")).join(words + rng.choice(([], list("moron"))))
         assert scorer.probability(text) == want(text), text
 
@@ -544,7 +567,7 @@ def test_viterbi_is_the_best_path():
     letters = "abdiot"
     n = len(letters) + 2
     rng = np.random.default_rng(9)
-    model = op08_toxicity.CharModel(letters, rng.integers(0, 50, n**3))
+    model = op08_toxicity.CharModel(letters, np.arange(n**3), rng.integers(0, 50, n**3))
 
     def paths(word):
         runs = [(m[1], len(m[0])) for m in op08_toxicity.RUN.finditer(word)]
@@ -566,7 +589,7 @@ def test_viterbi_is_the_best_path():
         a = b = 0
         total = 0.0
         for i in [model.at.get(c, 1) for c in s] + [0]:
-            total += model.lp[a][b][i]
+            total += model.log_p(a, b, i)
             a, b = b, i
         return total
 
