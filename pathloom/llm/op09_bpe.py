@@ -3,18 +3,18 @@ of pieces.
 
 Texts are split into words in Spark tasks. A task packs its documents into
 chunks: the chunk's distinct words, ordered by (bucket, word), and for each
-position the number of its word. Only the words travel, compressed by bucket of
-their hash: a bucket's words of all chunks meet, each distinct word is encoded
-once, and its ids go back to (chunk, bucket), where positions take them. Texts
-and positions are never shuffled, and nothing that is broadcast grows with the
-corpus. Decoding looks each id up, in order, in a dict of pieces in every task;
-its size is the vocabulary's. No query or stage decodes.
-
-spark.checkpoint.dir must be on a file system that executors mount.
+position the number of its word. Only words travel to be encoded, compressed by
+bucket of their hash: a bucket's words of all chunks meet, each distinct word is
+encoded once, and its ids go back to their chunk by a join, where positions take
+them. Texts are never shuffled, and nothing that is broadcast grows with the
+corpus. Decoding joins each id, exploded in order, with the table of pieces, whose
+size is the vocabulary's, and puts the pieces of a row together again; the row
+stays in its task.
 
 Defined results: a null text has null ids (and decodes to null), an empty text
 none; repeated rows and null keys are carried along; an empty table gives an
-empty result. Other columns are ignored.
+empty result. Other columns, whatever their names, are ignored by encode and kept
+by decode. An id outside the vocabulary, or a null one, is an error of the job.
 """
 
 from __future__ import annotations
@@ -25,13 +25,23 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pathloom.llm import bpe
-from pathloom.llm.common import BATCH_ROWS, local_path, map_batches, materialize, name_of, shared_dir, table
+from pathloom.llm.common import BATCH_ROWS, field, map_arrow, materialize, name_of, table, with_fresh
 
 #: Positions in a chunk, about.
 CHUNK_WORDS = 4_000_000
-BUCKETS = 512
+#: Buckets of words: one for so many bytes of text, within bounds (each chunk has a blob for each bucket).
+BUCKET_BYTES = 32 << 20
+BUCKETS = (64, 4096)
+#: Words of a bucket that a task remembers; beyond, some may be encoded again.
+REMEMBERED = 2_000_000
+
+
+def buckets_for(size: int) -> int:
+    return min(max(size // BUCKET_BYTES, BUCKETS[0]), BUCKETS[1])
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -60,7 +70,7 @@ def unpack_lists(blob: bytes) -> tuple[np.ndarray, bytes]:
     return _from_planes(raw[4 : 4 + 4 * n]).astype(np.int64), raw[4 + 4 * n :]
 
 
-def pack(df: DataFrame, key: str, text: str, chunk_words: int = CHUNK_WORDS, buckets: int = BUCKETS) -> DataFrame:
+def pack(df: DataFrame, key: str, text: str, chunk_words: int = CHUNK_WORDS, buckets: int = BUCKETS[0]) -> DataFrame:
     """A row for each chunk: chunk, keys, sizes (words by document, -1 for null),
     codes; and one for each of its buckets: chunk, bucket, words."""
     kind = df.schema[key].dataType.simpleString()
@@ -125,19 +135,20 @@ def pack(df: DataFrame, key: str, text: str, chunk_words: int = CHUNK_WORDS, buc
         if sizes:
             yield flush()
 
-    return df.select(df[key].alias("key"), df[text].alias("text")).mapInArrow(run, schema)
+    return df.select(field(df, key).alias("key"), field(df, text).alias("text")).mapInArrow(run, schema)
 
 
-def encode_words(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+def encode_words(words: DataFrame, vocabulary: str) -> DataFrame:
     """chunk, bucket, ids of the words of each chunk and bucket; a word that
     several chunks have is encoded once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, known, current = bpe.encoder(ranks), {}, None
+        encode, known, current = None, {}, None
         for t in batches:
             out = []
+            encode = encode or bpe.encoder(bpe.read_ranks(vocabulary))
             for bucket, blob in zip(t.column(1).to_pylist(), t.column(2)):
-                if bucket != current:  # rows come by bucket
+                if bucket != current or len(known) > REMEMBERED:  # rows come by bucket
                     known, current = {}, bucket
                 sizes, joined = unpack_lists(blob.as_py())
                 ends = np.cumsum(sizes).tolist()
@@ -158,34 +169,26 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: s
     """key, token_ids, n_tokens of every row."""
     key, text = name_of(df, key), name_of(df, text)
     kind = df.schema[key].dataType.simpleString()
-    path = shared_dir(df.sparkSession) + "/ids"
-    chunks = materialize(pack(df, key, text, chunk_words), "chunks")
-    ids = encode_words(chunks.where("bucket is not null").select("chunk", "bucket", "words"), bpe.read_ranks(vocabulary))
-    ids.repartition("chunk").sortWithinPartitions("chunk", "bucket").write.partitionBy("chunk").parquet(path)
-    folder = local_path(path)
+    size = df.agg(F.sum(F.octet_length(field(df, text)))).first()[0] or 0
+    chunks = materialize(pack(df, key, text, chunk_words, buckets_for(size)), "chunks")
+    ids = encode_words(chunks.where("bucket is not null").select("chunk", "bucket", "words"), vocabulary)
+    ids = ids.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("bucket", "ids"))).alias("found")).select(F.col("chunk").alias("of"), F.col("found.ids").alias("ids"))
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        import pyarrow.parquet as pq
         import zstandard
 
         for batch in batches:
             for row in range(batch.num_rows):
-                own = f"{folder}/chunk={batch.column(0)[row].as_py()}"
                 count, pool = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
-                if os.path.isdir(own):
-                    files = sorted(f"{own}/{x}" for x in os.listdir(own) if x.endswith(".parquet"))
-                    found = pa.concat_tables([pq.ParquetFile(f).read(["bucket", "ids"]) for f in files]).sort_by("bucket")
-                    for blob in found["ids"]:
-                        n, raw = unpack_lists(blob.as_py())
-                        count.append(n)
-                        pool.append(_from_planes(raw).astype(np.int32))
+                for blob in batch.column(3)[row].as_py() or ():
+                    n, raw = unpack_lists(blob)
+                    count.append(n)
+                    pool.append(_from_planes(raw).astype(np.int32))
                 count, pool = np.concatenate(count), np.concatenate(pool)
                 base = np.cumsum(count) - count
-                keys = batch.column(1).slice(row, 1).flatten()
-                sizes = batch.column(2).slice(row, 1).flatten().to_numpy(zero_copy_only=False)
-                codes = _from_planes(zstandard.ZstdDecompressor().decompress(batch.column(3)[row].as_py()))
+                keys = batch.column(0).slice(row, 1).flatten()
+                sizes = batch.column(1).slice(row, 1).flatten().to_numpy(zero_copy_only=False)
+                codes = _from_planes(zstandard.ZstdDecompressor().decompress(batch.column(2)[row].as_py()))
                 words_to = np.concatenate([[0], np.cumsum(np.maximum(sizes, 0))])
                 for i in range(0, len(sizes), BATCH_ROWS):
                     j = min(len(sizes), i + BATCH_ROWS)
@@ -199,26 +202,76 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: s
                     yield pa.RecordBatch.from_arrays([keys.slice(i, j - i), lists, pa.array(np.diff(starts), mask=sizes[i:j] < 0)], ["key", "token_ids", "n_tokens"])
 
     body = chunks.where("bucket is null").select("chunk", "keys", "sizes", "codes")
-    return body.mapInArrow(unpack, f"key {kind}, token_ids array<int>, n_tokens int").withColumnRenamed("key", key)
-
+    whole = body.join(ids, body["chunk"] == ids["of"], "left").select("keys", "sizes", "codes", "ids")
+    return whole.mapInArrow(unpack, f"key {kind}, token_ids array<int>, n_tokens int").withColumnRenamed("key", key)
 
-def decode(df: DataFrame, ids: str = "token_ids", text: str = "text", vocabulary: str = bpe.VOCABULARY) -> DataFrame:
-    """df with the text of its ids; an id outside the vocabulary is an error."""
-    where = df.columns.index(name_of(df, ids))
-    pieces = {i: p for p, i in bpe.read_ranks(vocabulary).items()}
 
-    def make():
-        def fn(b: pa.RecordBatch):
-            lists = b.column(where)
-            texts = [None if x is None else b"".join(map(pieces.__getitem__, x)).decode("utf-8", "replace") for x in lists.to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*b.schema.names, text])
+def pieces(spark: SparkSession, vocabulary: str = bpe.VOCABULARY) -> DataFrame:
+    """id, piece: as many rows as the vocabulary has."""
+    table_ = pa.table([pa.array(list(x)) for x in zip(*((i, p) for p, i in bpe.read_ranks(vocabulary).items()))], ["id", "piece"])
+    return spark.createDataFrame(table_).select(F.col("id").cast("int"), "piece")
 
-        return fn
 
-    if text in df.columns:
+def decode(df: DataFrame, ids: str = "token_ids", text: str = "text", vocabulary: str = bpe.VOCABULARY) -> DataFrame:
+    """df with the text of its ids."""
+    ids = name_of(df, ids)
+    if text.lower() in (c.lower() for c in df.columns):
         raise ValueError(f"the input has a column {text} already")
-    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return map_batches(df, make, f"{names}, `{text}` string", rows=200)
+    others = [c for c in df.columns if c != ids]
+    row, size, piece = with_fresh(df, "row"), with_fresh(df, "size"), with_fresh(df, "piece")
+    # the others and a row's number are repeated for each id, which stays in its task and in order
+    rows = df.select(F.monotonically_increasing_id().alias(row), F.when(field(df, ids).isNull(), -1).otherwise(F.size(field(df, ids))).alias(size), "*")
+    apart = rows.select(row, size, *[field(rows, c) for c in others], F.explode_outer(field(rows, ids)).alias(ids))
+    known = pieces(df.sparkSession, vocabulary).select(F.col("id").alias(row + "_id"), F.col("piece").alias(piece))
+    found = apart.join(F.broadcast(known), field(apart, ids) == known[row + "_id"], "left").drop(row + "_id")
+    place = [found.columns.index(c) for c in (row, size, ids, piece)]
+    carried = [found.columns.index(c) for c in others]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+
+        def whole(t: pa.Table) -> pa.RecordBatch:
+            """Rows of t, which has all ids of each."""
+            number = t.column(place[0]).to_numpy()
+            first = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]]))
+            n = t.column(place[1]).take(pa.array(first)).to_numpy()
+            token, got = (t.column(i).combine_chunks() for i in place[2:])
+            token, got = (pa.concat_arrays(x.chunks) if isinstance(x, pa.ChunkedArray) else x for x in (token, got))
+            on = np.repeat(n > 0, np.diff(np.append(first, len(number))))
+            if (on & ~np.asarray(got.is_valid())).any():
+                raise ValueError(f"an id is null or outside the vocabulary: {token.filter(pa.array(on & ~np.asarray(got.is_valid())))[0]}")
+            ends = np.cumsum(np.maximum(n, 0))
+            starts = pa.array(np.concatenate([[0], ends]).astype(np.int32))
+            token, got = token.filter(pa.array(on)), got.filter(pa.array(on))
+            offs = np.frombuffer(got.buffers()[1], np.int32)[got.offset : got.offset + len(got) + 1] if len(got) else np.zeros(1, np.int32)
+            raw = got.buffers()[2].to_pybytes() if len(got) and got.buffers()[2] else b""
+            bounds = offs[np.concatenate([[0], ends])].tolist()
+            texts = [None if k < 0 else raw[a:b].decode("utf-8", "replace") for k, a, b in zip(n.tolist(), bounds, bounds[1:])]
+            at = pa.array(first)
+            cols = [t.column(i).take(at).combine_chunks() for i in carried]
+            cols = [pa.concat_arrays(c.chunks) if isinstance(c, pa.ChunkedArray) else c for c in cols]
+            lists = pa.ListArray.from_arrays(starts, token, mask=pa.array(n < 0))
+            return pa.RecordBatch.from_arrays([*cols, lists, pa.array(texts, pa.string())], [f"c{i}" for i in range(len(cols) + 2)])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([b])
+            last = b.column(place[0])[-1].as_py()
+            if rest is not None and rest.column(place[0])[0].as_py() == last:
+                rest = pa.concat_tables([rest, t])
+                continue
+            t = pa.concat_tables([rest, t]) if rest is not None else t
+            cut = int(np.searchsorted(t.column(place[0]).to_numpy(), last))
+            rest = t.slice(cut)
+            if cut:
+                yield whole(t.slice(0, cut).combine_chunks())
+        if rest is not None:
+            yield whole(rest.combine_chunks())
+
+    schema = T.StructType([*(df.schema[c] for c in others), T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(text, T.StringType())])
+    out = map_arrow(found, run, schema)
+    return out.select(*[field(out, c) for c in df.columns], field(out, text))
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

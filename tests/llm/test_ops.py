@@ -110,6 +110,19 @@ def test_bpe(spark, docs, awkward, none):
         assert Counter((r.doc_id, None if r.token_ids is None else tuple(r.token_ids)) for r in out) == _reference_ids(rows)
         assert Counter((r.doc_id, r.text) for r in out) == Counter(rows)
     assert op09_bpe.encode(none).count() == 0
+    odd = spark.createDataFrame([(1, "x", [7, 8]), (None, "y", []), (1, "x", None), (1, "x", [7, 8])], "`a.b` int, piece string, token_ids array<int>")
+    out = op09_bpe.decode(odd, text="row.text")
+    pieces = {i: p for p, i in bpe.read_ranks().items()}
+    both = (pieces[7] + pieces[8]).decode("utf-8", "replace")
+    assert out.columns == [*odd.columns, "row.text"]
+    assert Counter(map(str, (tuple(r) for r in out.collect()))) == Counter(map(str, [(1, "x", [7, 8], both), (None, "y", [], ""), (1, "x", None, None), (1, "x", [7, 8], both)]))
+    for bad in ([7, 10**6], [None]):
+        with pytest.raises(Exception, match="outside the vocabulary"):
+            op09_bpe.decode(spark.createDataFrame([(1, bad)], "id int, token_ids array<int>")).collect()
+    assert op09_bpe.decode(odd.limit(0)).count() == 0
+    assert op09_bpe.buckets_for(0) == 64 and op09_bpe.buckets_for(1 << 33) == 256 and op09_bpe.buckets_for(1 << 47) == 4096
+    plan = op09_bpe.decode(docs.select("doc_id", F.array(F.lit(1)).alias("token_ids")))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hash" not in plan
 
 
 def test_token_output(spark, docs, awkward, none, tmp_path):
