@@ -33,6 +33,43 @@ PAGE_ROWS = 2000
 REMEMBERED = 500_000
 
 
+def lister(ranks: dict[bytes, int]):
+    """texts -> words of each (-1 for a null one), the ids of all, where those of each start."""
+    split, encode = bpe.splitter(), bpe.encoder(ranks)
+    # number of a word; ids of word k are pool[ends[k]:ends[k + 1]]
+    known: dict[str, int] = {}
+    pool, ends = array("i"), array("q", [0])
+
+    def read(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        nonlocal pool, ends
+        codes, sizes = [], []
+        for t in texts:
+            words = split(t) if t else []
+            sizes.append(-1 if t is None else len(words))
+            try:
+                codes.append(np.fromiter(map(known.__getitem__, words), np.int64, len(words)))
+            except KeyError:
+                for w in set(words).difference(known):
+                    known[w] = len(known)
+                    pool.extend(encode(w))
+                    ends.append(len(pool))
+                codes.append(np.fromiter(map(known.__getitem__, words), np.int64, len(words)))
+        sizes = np.array(sizes, np.int64)
+        code = np.concatenate(codes) if codes else np.zeros(0, np.int64)
+        at = np.frombuffer(ends, np.int64)
+        n = (at[1:] - at[:-1])[code]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        tokens = np.frombuffer(pool, np.int32)[np.repeat(at[code] - upto[:-1], n) + np.arange(upto[-1])] if len(code) else np.zeros(0, np.int32)
+        starts = upto[np.concatenate([[0], np.cumsum(np.maximum(sizes, 0))])].astype(np.int32)
+        del at
+        if len(known) > REMEMBERED:
+            known.clear()
+            pool, ends = array("i"), array("q", [0])
+        return sizes, tokens, starts
+
+    return read
+
+
 def tokenize(df: DataFrame, key: str = "doc_id", text: str = "text", metadata: Iterable[str] = (), vocabulary: str = bpe.VOCABULARY) -> DataFrame:
     """key, metadata, n_tokens, token_ids of every row."""
     key, text = name_of(df, key), name_of(df, text)
@@ -43,38 +80,12 @@ def tokenize(df: DataFrame, key: str = "doc_id", text: str = "text", metadata: I
     width = 1 + len(metadata)
 
     def make():
-        split, encode = bpe.splitter(), bpe.encoder(ranks)
-        # number of a word; ids of word k are pool[ends[k]:ends[k + 1]]
-        known: dict[str, int] = {}
-        pool, ends = array("i"), array("q", [0])
+        read = lister(ranks)
 
         def fn(b: pa.RecordBatch):
-            nonlocal pool, ends
-            codes, sizes = [], []
-            for t in b.column(width).to_pylist():
-                words = split(t) if t else []
-                sizes.append(-1 if t is None else len(words))
-                try:
-                    codes.append(np.fromiter(map(known.__getitem__, words), np.int64, len(words)))
-                except KeyError:
-                    for w in set(words).difference(known):
-                        known[w] = len(known)
-                        pool.extend(encode(w))
-                        ends.append(len(pool))
-                    codes.append(np.fromiter(map(known.__getitem__, words), np.int64, len(words)))
-            sizes = np.array(sizes, np.int64)
-            code = np.concatenate(codes) if codes else np.zeros(0, np.int64)
-            at = np.frombuffer(ends, np.int64)
-            n = (at[1:] - at[:-1])[code]
-            upto = np.concatenate([[0], np.cumsum(n)])
-            tokens = np.frombuffer(pool, np.int32)[np.repeat(at[code] - upto[:-1], n) + np.arange(upto[-1])] if len(code) else np.zeros(0, np.int32)
-            starts = upto[np.concatenate([[0], np.cumsum(np.maximum(sizes, 0))])].astype(np.int32)
+            sizes, tokens, starts = read(b.column(width).to_pylist())
             null = sizes < 0
             lists = pa.ListArray.from_arrays(pa.array(starts), pa.array(tokens, pa.int32()), mask=pa.array(null))
-            del at
-            if len(known) > REMEMBERED:
-                known.clear()
-                pool, ends = array("i"), array("q", [0])
             yield pa.RecordBatch.from_arrays([*b.columns[:width], pa.array(np.diff(starts), mask=null), lists], [*b.schema.names[:width], "n_tokens", "token_ids"])
 
         return fn

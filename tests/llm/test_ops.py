@@ -165,45 +165,81 @@ def test_elias_fano():
             assert e.find(q).tolist() == [at.get(int(x), -1) for x in q]
 
 
-def test_lm(spark, docs, awkward, none):
+def test_lm(spark, docs, awkward, none, tmp_path):
+    n = max(bpe.read_ranks().values()) + 1 + op03_lm.SHIFT
     for df in (docs.limit(80), awkward.where("doc_id != 4 or doc_id is null")):
         rows = [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
         ids = list(_reference_ids(rows).elements())
         d, c3 = op03_lm.DISCOUNT, Counter()
-        seq = [[op03_lm.BEGIN] * 2 + list(o) + [op03_lm.END] for _, o in ids if o]
-        for q in seq:
+        sequence = lambda o: [op03_lm.BEGIN] * 2 + [x + op03_lm.SHIFT for x in o] + [op03_lm.END]
+        for q in (sequence(o) for _, o in ids if o):
             c3.update(zip(q, q[1:], q[2:]))
         n2 = Counter((b, c) for _, b, c in c3)
         t3, s3, t2, s2, n1 = Counter(), Counter(), Counter(), Counter(), Counter()
-        for (a, b, _), n in c3.items():
-            t3[a, b] += n
+        for (a, b, _), m in c3.items():
+            t3[a, b] += m
             s3[a, b] += 1
-        for (b, c), n in n2.items():
-            t2[b] += n
+        for (b, c), m in n2.items():
+            t2[b] += m
             s2[b] += 1
             n1[c] += 1
         total, seen = sum(n1.values()), len(n1)
 
         def p(a, b, c):
-            low = (max(n1[c] - d, 0) + d * seen / 65536) / total
-            mid = max(n2[b, c] - d, 0) / t2[b] + d * s2[b] / t2[b] * low
-            return max(c3[a, b, c] - d, 0) / t3[a, b] + d * s3[a, b] / t3[a, b] * mid
+            low = (max(n1[c] - d, 0) + d * seen / n) / total
+            mid = max(n2[b, c] - d, 0) / t2[b] + d * s2[b] / t2[b] * low if t2[b] else low
+            return max(c3[a, b, c] - d, 0) / t3[a, b] + d * s3[a, b] / t3[a, b] * mid if t3[a, b] else mid
 
-        got = op03_lm.perplexities(df, shard_tokens=3000).collect()
+        path = str(tmp_path / str(len(rows)))
+        got = op03_lm.perplexities(df.withColumn("a.b", F.lit(1)), shard_tokens=1000, chunk_tokens=4000, path=path).collect()
         assert len(got) == len(rows)
         want = Counter()
         for i, o in ids:
             if o:
-                q = [op03_lm.BEGIN] * 2 + list(o) + [op03_lm.END]
+                q = sequence(o)
                 want[i, len(o)] = sum(math.log(p(*x)) for x in zip(q, q[1:], q[2:]))
         for r in got:
             if r.n_tokens:
-                assert abs(r.log_prob - want[r.doc_id, r.n_tokens]) / (r.n_tokens + 1) < 1 / op03_lm.QUANT
+                assert abs(r.log_prob - want[r.doc_id, r.n_tokens]) / (r.n_tokens + 1) < 2 / op03_lm.QUANT
             else:
                 assert r.log_prob is None and r.perplexity is None
+        # the trie's files answer for any trigram, seen or not, and frequent tokens have several shards
+        chunks = op03_lm.pack(df, "doc_id", "text", bpe.VOCABULARY, 4000)
+        counts = op03_lm.histogram(chunks, n)
+        assert Counter({int(t): int(counts[t]) for t in np.flatnonzero(counts)}) == sum((Counter({b: m}) for (_, b, _), m in c3.items()), Counter())
+        shards = op03_lm.Shards(counts, 1000)
+        assert len(rows) < 50 or shards.split.max() > 1 and shards.n > len(shards.split)
+        unigrams = np.array([(max(n1[c] - d, 0) + d * seen / n) / total for c in range(n)])
+        rng = random.Random(4)
+        tokens = sorted({x for k in c3 for x in k})
+        asked = rng.sample(sorted(c3), min(300, len(c3))) + [tuple(rng.choice(tokens) for _ in range(3)) for _ in range(300)] + [(a, b, rng.choice(tokens)) for a, b, _ in rng.sample(sorted(c3), min(300, len(c3)))]
+        keys = np.array([b << 2 * op03_lm.BITS | a << op03_lm.BITS | c for a, b, c in asked], np.uint64)
+        found = op03_lm.Model(path, shards, unigrams).log_probabilities(keys)
+        assert np.abs(found - [math.log(p(*x)) for x in asked]).max() < 4 / op03_lm.QUANT
     assert op03_lm.perplexities(none).count() == 0
 
 
+def test_lm_keeps_rare_successors_of_frequent_contexts():
+    counts = np.array([10**8, 1, 1, 5, 10**8], np.int64)
+    context, successor = np.array([3, 3, 3, 7, 7], np.uint64), np.array([1, 5, 9, 1, 2], np.uint64)
+    level = op03_lm.Level.build(context, successor, counts)
+    rank, first, last, weight = level.find(np.array([3, 7], np.uint64))
+    for k, c in enumerate((3, 7)):
+        own = successor[context == c].astype(np.int64)
+        p = level.successor(np.full(len(own), rank[k]), np.full(len(own), first[k]), np.full(len(own), last[k]), own)[1]
+        n = counts[context == c]
+        assert np.allclose(p, (n - op03_lm.DISCOUNT) / n.sum(), rtol=2 / op03_lm.QUANT) and abs(p.sum() + weight[k] - 1) < 2 / op03_lm.QUANT
+    big = np.array([2.0**60, 1.0])
+    assert op03_lm.quantised(np.log(big[1:] / big[0]))[0] < 65535
+
+
+def test_lm_refuses_a_vocabulary_too_big(spark, docs, tmp_path):
+    path = tmp_path / "v"
+    path.write_text("YQ== 5\nYg== 2097150\n")
+    with pytest.raises(ValueError, match="vocabulary"):
+        op03_lm.perplexities(docs, vocabulary=str(path))
+
+
 # 4
 def test_bit_sliced_compare():
     rng = np.random.default_rng(1)
