@@ -2,22 +2,28 @@
 
 A passage repeats when a window of WINDOW words occurs at two places or more.
 Each window belongs to its anchor, the run of GRAM words in it with the least
-hash (the first of equals), so equal windows have equal anchors. Anchors that
-occur once in the corpus hold no repeated window and are dropped. Of the others
-only the words around travel: the windows of an anchor, gathered by anchor hash,
+hash (the first of equals), so equal windows have equal anchors. Only the words
+around an anchor travel, by the anchor's hash, once; anchors that come once hold
+no repeated window and are dropped where they arrive. The windows of an anchor
 are suffixes of the shipped texts. In a task they are sorted deep-shallow:
-multikey quicksort, ternary by one word at a time, to a depth of SHALLOW words,
-then blind tries order the groups that still share a prefix. Neighbours in that
-order with a common prefix of WINDOW words are the repeats. The first place (by
-id, then position) of each window is the original, the others are marked, and
-marked windows are joined to spans.
+multikey quicksort, ternary by one word at a time and in step for all anchors, to
+a depth of SHALLOW words, then blind tries order the groups that still share a
+prefix. Neighbours in that order with a common prefix of WINDOW words are the
+repeats. The first place (by id, then position) of each window is the original,
+the others are marked, and marked windows are joined to spans.
 
-Words are runs of characters that are not white space. Positions count words.
+The windows of an anchor with more than HOT places are not gathered: each goes by
+a hash of 128 bits, the first place of each hash is found by partial minima, and
+a join, whose other side has one row for a hash, marks the rest.
+
+Words are runs of characters that are not white space; they are compared by 48
+bits of their hashes, so windows that differ in one word only are taken for equal
+once in 2**48 pairs. Positions count words.
 
 Defined results: null texts and texts under WINDOW words have no spans; rows of
 one id and one text are one document (a repeated row is no repeat), and of an id
 with several texts each is read; rows without id are ignored; an empty table
-gives none. Extra columns are ignored.
+gives none. Extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -27,13 +33,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import map_batches, materialize, name_of, table
+from pathloom.llm.common import field, map_batches, materialize, name_of, small, table
 
 WINDOW = 50
 GRAM = 8
 SHALLOW = 4
+#: Places of an anchor that a task sorts at once, at most.
+HOT = 50_000
 MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -42,11 +51,11 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def grams(h: np.ndarray, gram: int) -> np.ndarray:
+def grams(h: np.ndarray, gram: int, mult: np.uint64 = MULT) -> np.ndarray:
     """Hash of each run of `gram` words, from the words' hashes."""
     x = np.zeros(len(h) - gram + 1, np.uint64)
     for j in range(gram):
-        x = (x * MULT) ^ h[j : len(h) - gram + 1 + j]
+        x = (x * mult) ^ h[j : len(h) - gram + 1 + j]
     return _mixed(x)
 
 
@@ -78,14 +87,14 @@ def _per_document(hashes: pa.Array, window: int, gram: int):
 
 
 def blind_trie(items: list[bytes], lcp_known: int) -> list[list[int]]:
-    """Numbers of equal strings (of one length, of 4-byte words, whose first
+    """Numbers of equal strings (of one length, of 8-byte words, whose first
     lcp_known bytes agree), in order. Inner nodes hold only the word at which
     their strings part; a search goes down blindly, then compares with one leaf."""
     root: list = [-1, [0], items[0]]  # leaf: -1, numbers, string; inner: depth, children by word, some string
     for k in range(1, len(items)):
         s, node = items[k], root
         while node[0] >= 0:
-            child = node[1].get(s[node[0] : node[0] + 4])
+            child = node[1].get(s[node[0] : node[0] + 8])
             if child is None:
                 break
             node = child
@@ -94,11 +103,11 @@ def blind_trie(items: list[bytes], lcp_known: int) -> list[list[int]]:
             node[1].append(k)
             continue
         d = lcp_known
-        while s[d : d + 4] == other[d : d + 4]:
-            d += 4
+        while s[d : d + 8] == other[d : d + 8]:
+            d += 8
         node, parent, word = root, None, None
         while 0 <= node[0] < d:
-            parent, word = node, s[node[0] : node[0] + 4]
+            parent, word = node, s[node[0] : node[0] + 8]
             node = node[1].get(word)
             if node is None:
                 break
@@ -106,9 +115,9 @@ def blind_trie(items: list[bytes], lcp_known: int) -> list[list[int]]:
         if node is None:
             parent[1][word] = leaf
         elif node[0] == d:
-            node[1][s[d : d + 4]] = leaf
+            node[1][s[d : d + 8]] = leaf
         else:
-            inner = [d, {other[d : d + 4]: node, s[d : d + 4]: leaf}, other]
+            inner = [d, {other[d : d + 8]: node, s[d : d + 8]: leaf}, other]
             if parent is None:
                 root = inner
             else:
@@ -123,40 +132,66 @@ def blind_trie(items: list[bytes], lcp_known: int) -> list[list[int]]:
     return out
 
 
-def multikey(words: np.ndarray, starts: np.ndarray, shallow: int) -> list[np.ndarray]:
-    """Groups of starts whose suffixes share `shallow` words, in order. Ternary
-    quicksort on one word at a time, all groups in step; lone suffixes leave."""
-    order, group = np.arange(len(starts)), np.zeros(len(starts), np.int64)
-    for depth in range(shallow):
-        w = words[starts[order] + depth]
-        s = np.lexsort((w, group))
-        order, group, w = order[s], group[s], w[s]
-        new = np.concatenate([[True], (group[1:] != group[:-1]) | (w[1:] != w[:-1])]) if len(w) else np.zeros(0, bool)
-        group = np.cumsum(new) - 1
-        size = np.bincount(group) if len(group) else np.zeros(0, np.int64)
-        many = size[group] > 1
-        order, group = order[many], group[many]
-    edge = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else []
-    return [starts[x] for x in np.split(order, edge[1:])] if len(group) else []
-
-
-def repeats(words: np.ndarray, starts: np.ndarray, window: int, shallow: int = SHALLOW) -> Iterator[np.ndarray]:
-    """Groups of two or more starts with equal windows."""
+def multikey(words: np.ndarray, starts: np.ndarray, group: np.ndarray, shallow: int) -> list[np.ndarray]:
+    """Groups of starts whose suffixes share `shallow` words, in order. group: what
+    the starts are ordered by beforehand. Ternary quicksort on one word at a time:
+    in each round all groups are parted by a word of their own into less, equal and
+    greater; the equal go on with the next word, lone suffixes leave."""
+    at = starts[np.argsort(group, kind="stable")]
+    edge = np.flatnonzero(np.diff(np.sort(group), prepend=-1))
+    size = np.diff(np.append(edge, len(at)))
+    place, depth = edge.astype(np.int64), np.zeros(len(edge), np.int64)
+    out: list[tuple[int, np.ndarray]] = []
+    while len(size):
+        done = (depth >= shallow) & (size > 1)
+        begins = np.cumsum(size) - size
+        out += [(int(place[k]), at[begins[k] : begins[k] + size[k]]) for k in np.flatnonzero(done)]
+        keep = (depth < shallow) & (size > 1)
+        at = at[np.repeat(keep, size)]
+        size, place, depth = size[keep], place[keep], depth[keep]
+        if not len(size):
+            break
+        begins = np.cumsum(size) - size
+        own = np.repeat(np.arange(len(size)), size)
+        w = words[at + depth[own]]
+        # the middle one of the first, the middle and the last word
+        three = np.sort(np.stack([w[begins], w[begins + size // 2], w[begins + size - 1]]), axis=0)[1]
+        part = own * 3 + (w >= three[own]) + (w > three[own])
+        order = np.argsort(part, kind="stable")
+        at, part = at[order], part[order]
+        edge = np.flatnonzero(np.diff(part, prepend=-1))
+        old, which = part[edge] // 3, part[edge] % 3
+        place, depth = place[old] + edge - begins[old], depth[old] + (which == 1)
+        size = np.diff(np.append(edge, len(at)))
+    return [g for _, g in sorted(out, key=lambda x: x[0])]
+
+
+def repeats(words: np.ndarray, starts: np.ndarray, window: int, shallow: int = SHALLOW, group: np.ndarray | None = None) -> Iterator[np.ndarray]:
+    """Groups of two or more starts, of one group, with equal windows."""
     shallow = min(shallow, window)
-    raw = words.astype(">u4").tobytes()
-    for group in multikey(words, starts, shallow):
-        items = [raw[4 * a : 4 * (a + window)] for a in group.tolist()]
-        for same in blind_trie(items, 4 * shallow):
+    raw = words.astype(">u8").tobytes()
+    for many in multikey(words, starts, np.zeros(len(starts), np.int64) if group is None else group, shallow):
+        items = [raw[8 * a : 8 * (a + window)] for a in many.tolist()]
+        for same in blind_trie(items, 8 * shallow):
             if len(same) > 1:
-                yield group[same]
+                yield many[same]
+
+
+def _words(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of shipped runs, 4 bytes of each then 2 of each, and their lengths."""
+    length = np.fromiter(map(len, raw), np.int64, len(raw)) // 6
+    low = np.frombuffer(b"".join(x[: 4 * n] for x, n in zip(raw, length.tolist())), np.uint32)
+    high = np.frombuffer(b"".join(x[4 * n :] for x, n in zip(raw, length.tolist())), np.uint16)
+    return low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32), length
 
 
-def find_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, shallow: int = SHALLOW) -> DataFrame:
+def find_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, shallow: int = SHALLOW, hot: int = HOT) -> DataFrame:
     """key, start, end: spans of words that repeat an earlier passage."""
     key, text = name_of(df, key), name_of(df, text)
     kind = df.schema[key].dataType.simpleString()
-    hashes = F.transform(F.filter(F.split(df[text], r"\s+"), lambda w: w != ""), lambda w: F.xxhash64(w))
-    docs = df.where(df[key].isNotNull() & df[text].isNotNull()).select(df[key].alias("key"), F.xxhash64(df[text]).alias("version"), hashes.alias("h"))
+    body = field(df, text)
+    hashes = F.transform(F.filter(F.split(body, r"\s+"), lambda w: w != ""), lambda w: F.xxhash64(w))
+    docs = df.where(field(df, key).isNotNull() & body.isNotNull()).select(field(df, key).alias("key"), F.xxhash64(body).alias("version"), hashes.alias("h"))
 
     def count():
         def fn(b: pa.RecordBatch):
@@ -166,20 +201,19 @@ def find_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", window:
 
         return fn
 
-    many = map_batches(docs.select("h"), count, "anchor bigint, n bigint", rows=500).groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
+    counted = map_batches(docs.select("h"), count, "anchor bigint, n bigint", rows=500).groupBy("anchor").agg(F.sum("n").alias("n"))
+    crowded = materialize(counted.where(F.col("n") > hot).select(F.col("anchor").alias("crowded")), "hot_anchors")
 
     def ship():
         def fn(b: pa.RecordBatch):
             rows, anchor, start, data, windows = [], [], [], [], []
             for i, h, a, _, lo, hi in _per_document(b.column(2), window, gram):
-                # the low half of a word's hash is its symbol; the anchor has told the rest
-                short = (h & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-                raw = short.tobytes()
+                low, high = (h & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), (h >> np.uint64(32)).astype(np.uint16).tobytes()
                 rows += [i] * len(a)
                 anchor.append(a.view(np.int64))
                 start.append(lo)
                 windows.append(hi - lo + 1)
-                data += [raw[4 * x : 4 * (y + window)] for x, y in zip(lo.tolist(), hi.tolist())]
+                data += [low[4 * x : 4 * (y + window)] + high[2 * x : 2 * (y + window)] for x, y in zip(lo.tolist(), hi.tolist())]
             cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
             at = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays(
@@ -190,8 +224,7 @@ def find_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", window:
         return fn
 
     around = map_batches(docs, ship, f"anchor bigint, key {kind}, version bigint, start int, windows int, words binary", rows=500)
-    many = materialize(many, "anchors").withColumnRenamed("anchor", "again")
-    gathered = around.join(many, around["anchor"] == many["again"]).drop("again")
+    spans = f"key {kind}, version bigint, start int, end int"
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -206,20 +239,18 @@ def find_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", window:
             held, size = (rest.to_batches(), rest["words"].nbytes) if rest.num_rows else ([], 0)
             if not cut:
                 return
-            raw = t["words"].to_pylist()
-            words = np.frombuffer(b"".join(raw), np.uint32)
-            length = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
-            del raw
+            words, length = _words(t["words"].to_pylist())
             base = np.cumsum(length) - length
             n = t["windows"].to_numpy().astype(np.int64)
             owner = np.repeat(np.arange(cut), n)
             shift = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-            starts = base[owner] + shift
-            order = np.argsort(starts)  # starts are distinct
+            starts = base[owner] + shift  # distinct and in order
+            anchor = anchor[:cut]
+            group = np.cumsum(np.concatenate([[False], anchor[1:] != anchor[:-1]]))
             keys, version, place = t["key"].to_pylist(), t["version"].to_pylist(), t["start"].to_numpy()
             marked: list[int] = []
-            for same in repeats(words, starts, window, shallow):
-                w = order[np.searchsorted(starts, same, sorter=order)]
+            for same in repeats(words, starts, window, shallow, group[owner]):
+                w = np.searchsorted(starts, same)
                 rank = sorted((keys[owner[x]], int(place[owner[x]]) + int(shift[x]), version[owner[x]], x) for x in w.tolist())
                 # a repeated row is the same place again: it stays as its original stays, and goes as it goes
                 marked += [r[3] for r in rank if r[:3] != rank[0][:3]]
@@ -236,12 +267,40 @@ def find_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", window:
             if b.num_rows:
                 held.append(b)
                 size += b.column(5).nbytes
-                if size >= 24 << 20:
+                if size >= 36 << 20:
                     yield from flush(False)
         if held:
             yield from flush(True)
 
-    found = gathered.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(sort, f"key {kind}, version bigint, start int, end int")
+    def gathered(rows: DataFrame) -> DataFrame:
+        """One shuffle; what comes once goes before it reaches Python."""
+        again = rows.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("anchor"))).where("n > 1").drop("n")
+        return again.sortWithinPartitions("anchor").mapInArrow(sort, spans)
+
+    def apart():
+        def fn(b: pa.RecordBatch):
+            words, length = _words(b.column(5).to_pylist())
+            base = np.cumsum(length) - length
+            n = b.column(4).to_numpy().astype(np.int64)
+            owner = np.repeat(np.arange(b.num_rows), n)
+            shift = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+            two = [_mixed(words), _mixed(words ^ MULT)]
+            two = [grams(x, window, m).view(np.int64)[base[owner] + shift] for x, m in zip(two, (MULT, np.uint64(0xC2B2AE3D27D4EB4F)))]
+            at = pa.array(owner)
+            start = b.column(3).to_numpy()[owner] + shift
+            yield pa.RecordBatch.from_arrays([*map(pa.array, two), b.column(1).take(at), b.column(2).take(at), pa.array(start.astype(np.int32))], ["one", "two", "key", "version", "start"])
+
+        return fn
+
+    if crowded.isEmpty():
+        found = gathered(around)
+    else:
+        told = around.join(small(crowded), around["anchor"] == crowded["crowded"], "left")
+        single = map_batches(told.where("crowded is not null").drop("crowded"), apart, f"one bigint, two bigint, key {kind}, version bigint, start int", rows=500)
+        place = F.struct("key", "start", "version")
+        first = single.groupBy(F.col("one").alias("a"), F.col("two").alias("b")).agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").drop("last")
+        later = single.join(first, (F.col("one") == F.col("a")) & (F.col("two") == F.col("b"))).where(place != F.col("first"))
+        found = gathered(told.where("crowded is null").drop("crowded")).unionByName(later.select("key", "version", "start", (F.col("start") + window).cast("int").alias("end")))
     # spans of one document that touch or overlap are one
     parts = found.groupBy("key", "version").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("s"))
     joined = F.aggregate(

@@ -400,27 +400,41 @@ def _spans(rows, window):
 
 def test_repeats(spark, docs, awkward, none):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
-    for window, gram, shallow in ((50, 8, 4), (12, 3, 12), (20, 8, 1)):
-        got = {tuple(r) for r in op05_suffix.find_repeats(docs, window=window, gram=gram, shallow=shallow).collect()}
-        assert got == _spans(rows, window)
+    for window, gram, shallow, hot in ((50, 8, 4, op05_suffix.HOT), (12, 3, 12, 4), (20, 8, 1, 1)):
+        got = op05_suffix.find_repeats(docs.withColumn("a.b", F.lit(1)), window=window, gram=gram, shallow=shallow, hot=hot).collect()
+        assert {tuple(r) for r in got} == _spans(rows, window) and len(got) == len(set(got))
     some = awkward.where("doc_id != 4 or doc_id is null")
     got = {tuple(r) for r in op05_suffix.find_repeats(some).collect()}
     assert got == _spans([(6, "the " * 200)], 50)
     twice = spark.createDataFrame([(9, " ".join(map(str, range(80))))] * 2 + [(10, " ".join(map(str, range(20, 90))))], "doc_id bigint, text string")
-    assert {tuple(r) for r in op05_suffix.find_repeats(twice).collect()} == {(10, 0, 60)}
+    for hot in (1, 2, op05_suffix.HOT):
+        assert {tuple(r) for r in op05_suffix.find_repeats(twice, hot=hot).collect()} == {(10, 0, 60)}
     assert op05_suffix.find_repeats(none).count() == 0
     assert op05_suffix.find_repeats(awkward).where("doc_id is null").count() == 0
 
 
 def test_blind_trie_orders():
     rng = random.Random(2)
-    items = [b"\0\0\0\1" + b"".join(rng.choice([b"\0\0\0\1", b"\0\0\0\2"]) for _ in range(6)) for _ in range(200)]
-    out = op05_suffix.blind_trie(items, 4)
+    one, two = b"\0" * 7 + b"\1", b"\0" * 7 + b"\2"
+    items = [one + b"".join(rng.choice([one, two]) for _ in range(6)) for _ in range(200)]
+    out = op05_suffix.blind_trie(items, 8)
     assert sorted(i for g in out for i in g) == list(range(200))
     assert [items[g[0]] for g in out] == sorted(set(items))
     assert all(len({items[i] for i in g}) == 1 for g in out)
 
 
+def test_multikey_quicksort():
+    rng = np.random.default_rng(6)
+    for top, n, groups, depth in ((3, 400, 1, 4), (50, 900, 7, 2), (2, 64, 64, 5), (10**12, 300, 1, 1), (1, 50, 2, 3), (5, 0, 1, 2)):
+        words = rng.integers(0, top, 2000, dtype=np.uint64)
+        starts, group = rng.permutation(1900)[:n], rng.integers(0, groups, n)
+        got = op05_suffix.multikey(words, starts, group, depth)
+        by = defaultdict(list)
+        for a, g in zip(starts.tolist(), group.tolist()):
+            by[g, *words[a : a + depth].tolist()].append(a)
+        assert [sorted(x.tolist()) for x in got] == [sorted(by[k]) for k in sorted(by) if len(by[k]) > 1]
+
+
 # 6
 def _hits(rows, bench, n=op06_decontam.N):
     phrases = defaultdict(set)
