@@ -22,8 +22,9 @@ def splitter(pattern: str = PATTERN):
     return regex.compile(pattern).findall
 
 
-def encoder(ranks: dict[bytes, int], pattern: str = PATTERN):
-    """word -> ids"""
+def encoder(ranks: dict[bytes, int]):
+    """bytes of a word -> its ids"""
     import tiktoken
 
-    return tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    # a word is one piece already: it needs no second splitting
+    return tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece

@@ -33,38 +33,42 @@ PAGE_ROWS = 2000
 REMEMBERED = 500_000
 
 
+class _Known(dict):
+    """Number of a word, in order of arrival; ids of word k are pool[ends[k]:ends[k + 1]]."""
+
+    def __init__(self, encode):
+        self.encode, self.pool, self.ends = encode, array("i"), array("q", [0])
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        self.pool.extend(self.encode(word.encode()))
+        self.ends.append(len(self.pool))
+        return n
+
+
 def lister(ranks: dict[bytes, int]):
     """texts -> words of each (-1 for a null one), the ids of all, where those of each start."""
     split, encode = bpe.splitter(), bpe.encoder(ranks)
-    # number of a word; ids of word k are pool[ends[k]:ends[k + 1]]
-    known: dict[str, int] = {}
-    pool, ends = array("i"), array("q", [0])
+    known = _Known(encode)
 
     def read(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        nonlocal pool, ends
-        codes, sizes = [], []
+        nonlocal known
+        number, codes, sizes = known.__getitem__, [], []
         for t in texts:
             words = split(t) if t else []
             sizes.append(-1 if t is None else len(words))
-            try:
-                codes.append(np.fromiter(map(known.__getitem__, words), np.int64, len(words)))
-            except KeyError:
-                for w in set(words).difference(known):
-                    known[w] = len(known)
-                    pool.extend(encode(w))
-                    ends.append(len(pool))
-                codes.append(np.fromiter(map(known.__getitem__, words), np.int64, len(words)))
+            codes.append(np.fromiter(map(number, words), np.int64, len(words)))
         sizes = np.array(sizes, np.int64)
         code = np.concatenate(codes) if codes else np.zeros(0, np.int64)
-        at = np.frombuffer(ends, np.int64)
-        n = (at[1:] - at[:-1])[code]
+        at = np.frombuffer(known.ends, np.int64)
+        first = at[code]
+        n = at[code + 1] - first
         upto = np.concatenate([[0], np.cumsum(n)])
-        tokens = np.frombuffer(pool, np.int32)[np.repeat(at[code] - upto[:-1], n) + np.arange(upto[-1])] if len(code) else np.zeros(0, np.int32)
+        tokens = np.frombuffer(known.pool, np.int32)[np.repeat(first - upto[:-1], n) + np.arange(upto[-1])] if len(code) else np.zeros(0, np.int32)
         starts = upto[np.concatenate([[0], np.cumsum(np.maximum(sizes, 0))])].astype(np.int32)
         del at
         if len(known) > REMEMBERED:
-            known.clear()
-            pool, ends = array("i"), array("q", [0])
+            known = _Known(encode)
         return sizes, tokens, starts
 
     return read
