@@ -6,18 +6,21 @@ hash (the first of equals), so equal windows have equal anchors. Only the words
 around an anchor travel, by the anchor's hash, once; anchors that come once hold
 no repeated window and are dropped where they arrive. The windows of an anchor
 are suffixes of the shipped texts. In a task they are sorted deep-shallow:
-multikey quicksort, ternary by one word at a time and in step for all anchors, to
+multikey quicksort, ternary by one word at a time and in step for all anchors (and
+the windows' 16 bits), to
 a depth of SHALLOW words, then blind tries order the groups that still share a
 prefix. Neighbours in that order with a common prefix of WINDOW words are the
 repeats. The first place (by id, then position) of each window is the original,
 the others are marked, and marked windows are joined to spans.
 
-The windows of an anchor with more than HOT places are not gathered: each goes by
-a hash of 128 bits, the first place of each hash is found by partial minima, and
-a join, whose other side has one row for a hash, marks the rest.
+The places of an anchor with more than HOT are dealt to blocks, which are sorted
+apart. In a block all but the first place of a window are marked; the first go by
+a hash of 128 bits to partial minima over the blocks, and a join, whose other side
+has one row for a hash, marks all but the least.
 
-Words are runs of characters that are not white space; they are compared by 48
-bits of their hashes, so windows that differ in one word only are taken for equal
+Words are runs of characters that are not white space; they are compared by 32
+bits of their hashes, and windows by 16 bits more that depend on the rest of all
+their words' hashes, so windows that differ in one word only are taken for equal
 once in 2**48 pairs. Positions count words.
 
 Defined results: null texts and texts under WINDOW words have no spans; rows of
@@ -87,14 +90,14 @@ def _per_document(hashes: pa.Array, window: int, gram: int):
 
 
 def blind_trie(items: list[bytes], lcp_known: int) -> list[list[int]]:
-    """Numbers of equal strings (of one length, of 8-byte words, whose first
+    """Numbers of equal strings (of one length, of 4-byte words, whose first
     lcp_known bytes agree), in order. Inner nodes hold only the word at which
     their strings part; a search goes down blindly, then compares with one leaf."""
     root: list = [-1, [0], items[0]]  # leaf: -1, numbers, string; inner: depth, children by word, some string
     for k in range(1, len(items)):
         s, node = items[k], root
         while node[0] >= 0:
-            child = node[1].get(s[node[0] : node[0] + 8])
+            child = node[1].get(s[node[0] : node[0] + 4])
             if child is None:
                 break
             node = child
@@ -103,11 +106,11 @@ def blind_trie(items: list[bytes], lcp_known: int) -> list[list[int]]:
             node[1].append(k)
             continue
         d = lcp_known
-        while s[d : d + 8] == other[d : d + 8]:
-            d += 8
+        while s[d : d + 4] == other[d : d + 4]:
+            d += 4
         node, parent, word = root, None, None
         while 0 <= node[0] < d:
-            parent, word = node, s[node[0] : node[0] + 8]
+            parent, word = node, s[node[0] : node[0] + 4]
             node = node[1].get(word)
             if node is None:
                 break
@@ -115,9 +118,9 @@ def blind_trie(items: list[bytes], lcp_known: int) -> list[list[int]]:
         if node is None:
             parent[1][word] = leaf
         elif node[0] == d:
-            node[1][s[d : d + 8]] = leaf
+            node[1][s[d : d + 4]] = leaf
         else:
-            inner = [d, {other[d : d + 8]: node, s[d : d + 8]: leaf}, other]
+            inner = [d, {other[d : d + 4]: node, s[d : d + 4]: leaf}, other]
             if parent is None:
                 root = inner
             else:
@@ -169,20 +172,21 @@ def multikey(words: np.ndarray, starts: np.ndarray, group: np.ndarray, shallow:
 def repeats(words: np.ndarray, starts: np.ndarray, window: int, shallow: int = SHALLOW, group: np.ndarray | None = None) -> Iterator[np.ndarray]:
     """Groups of two or more starts, of one group, with equal windows."""
     shallow = min(shallow, window)
-    raw = words.astype(">u8").tobytes()
+    raw = words.astype(">u4").tobytes()
     for many in multikey(words, starts, np.zeros(len(starts), np.int64) if group is None else group, shallow):
-        items = [raw[8 * a : 8 * (a + window)] for a in many.tolist()]
-        for same in blind_trie(items, 8 * shallow):
+        items = [raw[4 * a : 4 * (a + window)] for a in many.tolist()]
+        for same in blind_trie(items, 4 * shallow):
             if len(same) > 1:
                 yield many[same]
 
 
-def _words(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of shipped runs, 4 bytes of each then 2 of each, and their lengths."""
-    length = np.fromiter(map(len, raw), np.int64, len(raw)) // 6
-    low = np.frombuffer(b"".join(x[: 4 * n] for x, n in zip(raw, length.tolist())), np.uint32)
-    high = np.frombuffer(b"".join(x[4 * n :] for x, n in zip(raw, length.tolist())), np.uint16)
-    return low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32), length
+def _unpacked(raw: list[bytes], windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of shipped runs, 4 bytes of each word and then 2 of each window: words, their
+    number by run, and what the windows have more."""
+    length = (np.fromiter(map(len, raw), np.int64, len(raw)) - 2 * windows) // 4
+    cut = (4 * length).tolist()
+    words = np.frombuffer(b"".join([x[:n] for x, n in zip(raw, cut)]), np.uint32)
+    return words, length, np.frombuffer(b"".join([x[n:] for x, n in zip(raw, cut)]), np.uint16)
 
 
 def find_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, shallow: int = SHALLOW, hot: int = HOT) -> DataFrame:
@@ -202,18 +206,19 @@ def find_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", window:
         return fn
 
     counted = map_batches(docs.select("h"), count, "anchor bigint, n bigint", rows=500).groupBy("anchor").agg(F.sum("n").alias("n"))
-    crowded = materialize(counted.where(F.col("n") > hot).select(F.col("anchor").alias("crowded")), "hot_anchors")
+    crowded = counted.where(F.col("n") > hot).select(F.col("anchor").alias("crowded"), F.ceil(F.col("n") / hot).cast("int").alias("blocks"))
+    crowded = materialize(crowded, "hot_anchors")
 
     def ship():
         def fn(b: pa.RecordBatch):
             rows, anchor, start, data, windows = [], [], [], [], []
             for i, h, a, _, lo, hi in _per_document(b.column(2), window, gram):
-                low, high = (h & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), (h >> np.uint64(32)).astype(np.uint16).tobytes()
+                low, more = (h & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), grams(_mixed(h >> np.uint64(32)), window).astype(np.uint16).tobytes()
                 rows += [i] * len(a)
                 anchor.append(a.view(np.int64))
                 start.append(lo)
                 windows.append(hi - lo + 1)
-                data += [low[4 * x : 4 * (y + window)] + high[2 * x : 2 * (y + window)] for x, y in zip(lo.tolist(), hi.tolist())]
+                data += [low[4 * x : 4 * (y + window)] + more[2 * x : 2 * (y + 1)] for x, y in zip(lo.tolist(), hi.tolist())]
             cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
             at = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays(
@@ -224,7 +229,14 @@ def find_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", window:
         return fn
 
     around = map_batches(docs, ship, f"anchor bigint, key {kind}, version bigint, start int, windows int, words binary", rows=500)
-    spans = f"key {kind}, version bigint, start int, end int"
+    if crowded.isEmpty():
+        dealt = around.select("*", F.lit(0).alias("block"), F.lit(False).alias("hot"))
+    else:
+        dealt = around.join(small(crowded), around["anchor"] == crowded["crowded"], "left")
+        block = F.coalesce(F.pmod(F.xxhash64("key", "version", "start"), F.col("blocks")).cast("int"), F.lit(0))
+        dealt = dealt.select(*around.columns, block.alias("block"), F.col("crowded").isNotNull().alias("hot"))
+
+    names = ["key", "version", "start", "end", "one", "two"]
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -232,24 +244,24 @@ def find_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", window:
         def flush(final: bool):
             nonlocal held, size
             t = pa.Table.from_batches(held).combine_chunks()
-            anchor = t["anchor"].to_numpy()
-            cut = len(anchor) if final else int(np.searchsorted(anchor, anchor[-1]))
+            anchor, block = t["anchor"].to_numpy(), t["block"].to_numpy()
+            of = np.cumsum(np.concatenate([[False], (anchor[1:] != anchor[:-1]) | (block[1:] != block[:-1])]))
+            cut = len(of) if final else int(np.searchsorted(of, of[-1]))
             rest = t.slice(cut)
             t = t.slice(0, cut)
             held, size = (rest.to_batches(), rest["words"].nbytes) if rest.num_rows else ([], 0)
             if not cut:
                 return
-            words, length = _words(t["words"].to_pylist())
-            base = np.cumsum(length) - length
             n = t["windows"].to_numpy().astype(np.int64)
+            words, length, more = _unpacked(t["words"].to_pylist(), n)
+            base = np.cumsum(length) - length
             owner = np.repeat(np.arange(cut), n)
             shift = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
             starts = base[owner] + shift  # distinct and in order
-            anchor = anchor[:cut]
-            group = np.cumsum(np.concatenate([[False], anchor[1:] != anchor[:-1]]))
+            group = of[owner] << 16 | more
             keys, version, place = t["key"].to_pylist(), t["version"].to_pylist(), t["start"].to_numpy()
             marked: list[int] = []
-            for same in repeats(words, starts, window, shallow, group[owner]):
+            for same in repeats(words, starts, window, shallow, group):
                 w = np.searchsorted(starts, same)
                 rank = sorted((keys[owner[x]], int(place[owner[x]]) + int(shift[x]), version[owner[x]], x) for x in w.tolist())
                 # a repeated row is the same place again: it stays as its original stays, and goes as it goes
@@ -261,46 +273,41 @@ def find_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", window:
                 last = np.concatenate([edge[1:], [len(m)]]) - 1
                 take = pa.array(o[edge])
                 ks, vs = (pa.concat_arrays(t[c].take(take).chunks) for c in ("key", "version"))
-                yield pa.RecordBatch.from_arrays([ks, vs, pa.array(p[edge].astype(np.int32)), pa.array((p[last] + window).astype(np.int32))], ["key", "version", "start", "end"])
+                none = pa.nulls(len(edge), pa.int64())
+                yield pa.RecordBatch.from_arrays([ks, vs, pa.array(p[edge].astype(np.int32)), pa.array((p[last] + window).astype(np.int32)), none, none], names)
+            hot = t["hot"].to_numpy()
+            if hot.any():
+                # the block's first places, by what their windows hold
+                held_back = hot[owner]
+                held_back[m] = False
+                sub = np.repeat(hot, length)
+                w, below = words[sub].astype(np.uint64), np.cumsum(~sub)
+                x = np.flatnonzero(held_back)
+                at = starts[x] - below[starts[x]]
+                two = [grams(_mixed(y), window, k)[at] for y, k in ((w, MULT), (w ^ MULT, np.uint64(0xC2B2AE3D27D4EB4F)))]
+                two = [y.view(np.int64) for y in (two[0], _mixed(two[1] ^ more[x]))]
+                ks, vs = (pa.concat_arrays(t[c].take(pa.array(owner[x])).chunks) for c in ("key", "version"))
+                yield pa.RecordBatch.from_arrays([ks, vs, pa.array((place[owner[x]] + shift[x]).astype(np.int32)), pa.nulls(len(x), pa.int32()), *map(pa.array, two)], names)
 
         for b in batches:
             if b.num_rows:
                 held.append(b)
                 size += b.column(5).nbytes
-                if size >= 36 << 20:
+                if size >= 20 << 20:
                     yield from flush(False)
         if held:
             yield from flush(True)
 
-    def gathered(rows: DataFrame) -> DataFrame:
-        """One shuffle; what comes once goes before it reaches Python."""
-        again = rows.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("anchor"))).where("n > 1").drop("n")
-        return again.sortWithinPartitions("anchor").mapInArrow(sort, spans)
-
-    def apart():
-        def fn(b: pa.RecordBatch):
-            words, length = _words(b.column(5).to_pylist())
-            base = np.cumsum(length) - length
-            n = b.column(4).to_numpy().astype(np.int64)
-            owner = np.repeat(np.arange(b.num_rows), n)
-            shift = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-            two = [_mixed(words), _mixed(words ^ MULT)]
-            two = [grams(x, window, m).view(np.int64)[base[owner] + shift] for x, m in zip(two, (MULT, np.uint64(0xC2B2AE3D27D4EB4F)))]
-            at = pa.array(owner)
-            start = b.column(3).to_numpy()[owner] + shift
-            yield pa.RecordBatch.from_arrays([*map(pa.array, two), b.column(1).take(at), b.column(2).take(at), pa.array(start.astype(np.int32))], ["one", "two", "key", "version", "start"])
-
-        return fn
-
-    if crowded.isEmpty():
-        found = gathered(around)
-    else:
-        told = around.join(small(crowded), around["anchor"] == crowded["crowded"], "left")
-        single = map_batches(told.where("crowded is not null").drop("crowded"), apart, f"one bigint, two bigint, key {kind}, version bigint, start int", rows=500)
+    # one shuffle; what comes once goes before it reaches Python
+    again = dealt.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("anchor", "block"))).where("n > 1 or hot").drop("n")
+    found = again.sortWithinPartitions("anchor", "block").mapInArrow(sort, f"key {kind}, version bigint, start int, end int, one bigint, two bigint")
+    if not crowded.isEmpty():
+        found = materialize(found, "found")
         place = F.struct("key", "start", "version")
-        first = single.groupBy(F.col("one").alias("a"), F.col("two").alias("b")).agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").drop("last")
-        later = single.join(first, (F.col("one") == F.col("a")) & (F.col("two") == F.col("b"))).where(place != F.col("first"))
-        found = gathered(told.where("crowded is null").drop("crowded")).unionByName(later.select("key", "version", "start", (F.col("start") + window).cast("int").alias("end")))
+        held = found.where("end is null")
+        first = held.groupBy(F.col("one").alias("a"), F.col("two").alias("b")).agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").drop("last")
+        later = held.join(first, (F.col("one") == F.col("a")) & (F.col("two") == F.col("b"))).where(place != F.col("first"))
+        found = found.where("end is not null").select("key", "version", "start", "end").unionByName(later.select("key", "version", "start", (F.col("start") + window).cast("int").alias("end")))
     # spans of one document that touch or overlap are one
     parts = found.groupBy("key", "version").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("s"))
     joined = F.aggregate(
