@@ -54,6 +54,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialize_by(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """Like materialize, as a table bucketed by key: a join on it reads df without a shuffle."""
+    spark = df.sparkSession
+    known = f"pathloom_{name}_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, key).option("path", f"{shared_dir(spark)}/{name}").saveAsTable(known)
+    return spark.table(known)
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """A broadcast hint, if df (already written) has few enough rows."""
     return F.broadcast(df) if df.count() <= rows else df

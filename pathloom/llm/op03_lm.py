@@ -17,7 +17,7 @@ token before. A task packs its documents into chunks; a chunk's distinct trigram
 with their counts travel to their shards, once. There the trie's files, which
 tasks map into memory, are built, each distinct trigram is looked up once, and
 the results go back to the chunks by a join. So no task opens more than one shard,
-and a text is never shuffled, its tokens are, once.
+and neither texts nor their tokens are ever shuffled: their table is bucketed.
 
 spark.checkpoint.dir must be on a file system that executors mount.
 
@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathloom.llm import bpe
-from pathloom.llm.common import field, local_path, materialize, name_of, shared_dir, table
+from pathloom.llm.common import field, local_path, materialize, materialize_by, name_of, shared_dir, table
 from pathloom.llm.ef import EliasFano
 from pathloom.llm.op02_tokens import lister
 
@@ -50,6 +50,8 @@ DISCOUNT = 0.75
 #: Tokens of a chunk, and trigrams of a shard, about.
 CHUNK_TOKENS = 2_000_000
 SHARD_TOKENS = 4_000_000
+#: Chunks lie in a bucketed table, a bucket for so many bytes of text, so that they need no shuffle to meet their answers.
+TABLE_BYTES = 16 << 20
 #: Log probabilities are kept in steps of 1/QUANT, down to -65535/QUANT.
 QUANT = 1024
 LOW = np.uint64(TOP - 1)
@@ -419,13 +421,15 @@ def perplexities(df: DataFrame, key: str = "doc_id", text: str = "text", vocabul
     spark = df.sparkSession
     key, text = name_of(df, key), name_of(df, text)
     kind = df.schema[key].dataType.simpleString()
-    chunks = materialize(pack(df, key, text, vocabulary, chunk_tokens), "chunks")
+    size = df.agg(F.sum(F.octet_length(field(df, text)))).first()[0] or 0
+    parts = min(max(size // TABLE_BYTES, 8), 50_000)
+    chunks = materialize_by(pack(df, key, text, vocabulary, chunk_tokens), "chunks", "chunk", parts)
     n = max(bpe.read_ranks(vocabulary).values(), default=0) + 1 + SHIFT
     shards = Shards(histogram(chunks, n), shard_tokens)
     folder = local_path(path or shared_dir(spark) + "/trie")
     gathered = materialize(by_shard(chunks, shards), "shards")
     model = Model(folder, shards, build_upper(gathered, shards, folder, n))
-    found = answers(gathered, model).groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("shard", "logs"))).alias("found"))
+    found = answers(gathered, model).repartition(parts, "chunk").groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("shard", "logs"))).alias("found"))
     whole = chunks.join(found.select(F.col("chunk").alias("of"), F.col("found.logs").alias("logs")), F.col("chunk") == F.col("of"), "left").select("keys", "sizes", "tokens", "logs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
