@@ -67,6 +67,21 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, after which its worker, which Spark keeps, gives back the memory it has freed."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ctypes
+
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return go
+
+
 def map_batches(
     df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]]], schema: str, rows: int = BATCH_ROWS
 ) -> DataFrame:
@@ -86,9 +101,9 @@ def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[
     """mapInArrow over columns of any name, dots and all: they travel under numbers."""
     plain = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
     if isinstance(schema, str):
-        return plain.mapInArrow(run, schema)
+        return plain.mapInArrow(tidied(run), schema)
     numbered = T.StructType([T.StructField(f"c{i}", f.dataType, f.nullable) for i, f in enumerate(schema.fields)])
-    return plain.mapInArrow(run, numbered).toDF(*schema.names)
+    return plain.mapInArrow(tidied(run), numbered).toDF(*schema.names)
 
 
 def field(df: DataFrame, name: str) -> Column:

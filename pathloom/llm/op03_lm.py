@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathloom.llm import bpe
-from pathloom.llm.common import field, local_path, materialize, materialize_by, name_of, shared_dir, table
+from pathloom.llm.common import field, local_path, materialize, materialize_by, name_of, shared_dir, table, tidied
 from pathloom.llm.ef import EliasFano
 from pathloom.llm.op02_tokens import lister
 
@@ -312,7 +312,7 @@ def pack(df: DataFrame, key: str, text: str, vocabulary: str, chunk_tokens: int
         if keys:
             yield flush()
 
-    return df.select(field(df, key).alias("key"), field(df, text).alias("text")).mapInArrow(run, f"chunk bigint, keys array<{kind}>, sizes array<int>, tokens binary")
+    return df.select(field(df, key).alias("key"), field(df, text).alias("text")).mapInArrow(tidied(run), f"chunk bigint, keys array<{kind}>, sizes array<int>, tokens binary")
 
 
 def histogram(chunks: DataFrame, n: int) -> np.ndarray:
@@ -328,7 +328,7 @@ def histogram(chunks: DataFrame, n: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(on), pa.array(sums[on])], ["token", "n"])
 
     out = np.zeros(n, np.int64)
-    for r in chunks.select("sizes", "tokens").mapInArrow(run, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")).collect():
+    for r in chunks.select("sizes", "tokens").mapInArrow(tidied(run), "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")).collect():
         out[r.token] = r.n
     return out
 
@@ -365,8 +365,8 @@ def by_shard(chunks: DataFrame, shards: Shards) -> DataFrame:
         if blobs:
             yield flush()
 
-    counted = chunks.select("chunk", "sizes", "tokens").mapInArrow(count, "shard int, chunk bigint, blob binary")
-    return counted.repartition("shard").sortWithinPartitions("shard", "chunk").mapInArrow(gather, "shard int, chunks array<bigint>, blobs array<binary>, pairs binary")
+    counted = chunks.select("chunk", "sizes", "tokens").mapInArrow(tidied(count), "shard int, chunk bigint, blob binary")
+    return counted.repartition("shard").sortWithinPartitions("shard", "chunk").mapInArrow(tidied(gather), "shard int, chunks array<bigint>, blobs array<binary>, pairs binary")
 
 
 def build_upper(gathered: DataFrame, shards: Shards, folder: str, n: int) -> np.ndarray:
@@ -412,7 +412,7 @@ def answers(gathered: DataFrame, model: Model) -> DataFrame:
                     ["chunk", "shard", "logs"],
                 )
 
-    return gathered.select("shard", "chunks", "blobs").mapInArrow(run, "chunk bigint, shard int, logs binary")
+    return gathered.select("shard", "chunks", "blobs").mapInArrow(tidied(run), "chunk bigint, shard int, logs binary")
 
 
 def perplexities(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = bpe.VOCABULARY, shard_tokens: int = SHARD_TOKENS, chunk_tokens: int = CHUNK_TOKENS, path: str | None = None) -> DataFrame:
@@ -448,7 +448,7 @@ def perplexities(df: DataFrame, key: str = "doc_id", text: str = "text", vocabul
                     [b.column(0)[i].values, pa.array(sizes, pa.int32(), mask=null), pa.array(sums, mask=none), pa.array(ppl, mask=none)], ["key", "n_tokens", "log_prob", "perplexity"]
                 )
 
-    return whole.mapInArrow(run, f"key {kind}, n_tokens int, log_prob double, perplexity double").withColumnRenamed("key", key)
+    return whole.mapInArrow(tidied(run), f"key {kind}, n_tokens int, log_prob double, perplexity double").withColumnRenamed("key", key)
 
 
 def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

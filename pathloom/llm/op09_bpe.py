@@ -31,10 +31,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pathloom.llm import bpe
-from pathloom.llm.common import BATCH_ROWS, field, map_arrow, materialize_by, name_of, table
+from pathloom.llm.common import BATCH_ROWS, field, map_arrow, materialize_by, name_of, table, tidied
 
 #: Positions in a chunk, about.
-CHUNK_WORDS = 2_000_000
+CHUNK_WORDS = 1_000_000
 #: Buckets of words: one for so many bytes of text, within bounds (each chunk has a blob for each bucket).
 BUCKET_BYTES = 32 << 20
 BUCKETS = (64, 4096)
@@ -44,7 +44,7 @@ TABLE_BUCKETS = (8, 50_000)
 #: Words of a bucket that a task remembers; beyond, some may be encoded again.
 REMEMBERED = 2_000_000
 #: Ids of a block that is decoded at once, about.
-BLOCK_IDS = 400_000
+BLOCK_IDS = 200_000
 
 
 def buckets_for(size: int, each: int = BUCKET_BYTES, bounds: tuple[int, int] = BUCKETS) -> int:
@@ -147,7 +147,7 @@ def pack(df: DataFrame, key: str, text: str, chunk_words: int = CHUNK_WORDS, buc
         if sizes:
             yield flush()
 
-    return df.select(field(df, key).alias("key"), field(df, text).alias("text")).mapInArrow(run, schema)
+    return df.select(field(df, key).alias("key"), field(df, text).alias("text")).mapInArrow(tidied(run), schema)
 
 
 def encode_words(words: DataFrame, vocabulary: str) -> DataFrame:
@@ -174,7 +174,7 @@ def encode_words(words: DataFrame, vocabulary: str) -> DataFrame:
                 out.append(pack_lists(lists, _planes(np.fromiter((i for x in lists for i in x), np.int64))))
             yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), pa.array(out, pa.binary())], ["chunk", "bucket", "ids"])
 
-    return words.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "chunk bigint, bucket int, ids binary")
+    return words.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidied(run), "chunk bigint, bucket int, ids binary")
 
 
 def _encoded(df: DataFrame, key: str, text: str, vocabulary: str, chunk_words: int) -> tuple[DataFrame, Callable, T.StructType]:
@@ -227,13 +227,13 @@ def _encoded(df: DataFrame, key: str, text: str, vocabulary: str, chunk_words: i
 def encode(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = bpe.VOCABULARY, chunk_words: int = CHUNK_WORDS) -> DataFrame:
     """key, token_ids, n_tokens of every row."""
     whole, unpack, schema = _encoded(df, key, text, vocabulary, chunk_words)
-    return whole.mapInArrow(unpack, schema).withColumnRenamed("key", name_of(df, key))
+    return whole.mapInArrow(tidied(unpack), schema).withColumnRenamed("key", name_of(df, key))
 
 
 def round_trip(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = bpe.VOCABULARY, chunk_words: int = CHUNK_WORDS) -> DataFrame:
     """key, token_ids, n_tokens, text (decoded again) of every row: decode(encode(df)) with a Python process less."""
     whole, unpack, schema = _encoded(df, key, text, vocabulary, chunk_words)
-    sent = whole.mapInArrow(lambda batches: _ask(unpack(batches), 1), "block binary, asked int")
+    sent = whole.mapInArrow(tidied(lambda batches: _ask(unpack(batches), 1)), "block binary, asked int")
     return _answered(sent, schema, 1, "text", vocabulary).withColumnRenamed("key", name_of(df, key))
 
 
