@@ -26,16 +26,16 @@ def _scalar(name: str, kind: str, columns: dict[str, str], sql: str) -> None:
     """Scalar columns of each resource, with its id."""
 
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        return ENGINE.project(star.resource(spark, sf, kind), columns, kind=kind, keep=["id"])
+        return ENGINE.project(star.resource(spark, sf, kind, columns.values()), columns, kind=kind, keep=["id"])
 
     QUERIES[name], SQL[name] = run, sql
 
 
 def _rows(name: str, kind: str, expression: str, sql: str) -> None:
-    """id, position and value of each result."""
+    """id, position and value of each result; positions tell the items' order."""
 
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        return ENGINE.evaluate(star.resource(spark, sf, kind), expression, kind=kind)
+        return ENGINE.evaluate(star.resource(spark, sf, kind, [expression, "item.line.first()"]), expression, kind=kind)
 
     QUERIES[name], SQL[name] = run, sql
 
@@ -58,7 +58,7 @@ def _per_order(name: str, columns: dict[str, str], values: str) -> None:
 # navigation, filtering, existence
 _rows("nav_flatten", "Order", "Order.item.quantity", f"with {_IT} select cast(l_orderkey as varchar) as id, cast(rn - 1 as int) as position, l_quantity as value from it join orders on o_orderkey = l_orderkey")
 _query("where_exists", f"{_O} from orders where exists (select 1 from lineitem where l_orderkey = o_orderkey and l_returnflag = 'R')")(
-    lambda s, sf: ENGINE.filter(star.resource(s, sf, "Order"), "Order.item.exists(returnFlag = 'R')").select("id")
+    lambda s, sf: ENGINE.filter(star.resource(s, sf, "Order", ["Order.item.exists(returnFlag = 'R')"]), "Order.item.exists(returnFlag = 'R')").select("id")
 )
 _rows("where_items", "Order", "item.where(quantity > 45 and discount >= 0.05).price", f"with {_IT}, w as (select *, row_number() over (partition by l_orderkey order by rn) as p from it where l_quantity > 45 and l_discount >= 0.05) select cast(l_orderkey as varchar) as id, cast(p - 1 as int) as position, l_extendedprice as value from w join orders on o_orderkey = l_orderkey")
 _rows("select_body", "Order", "item.select(price * (1 - discount)).select($this.round(4))", f"with {_IT} select cast(l_orderkey as varchar) as id, cast(rn - 1 as int) as position, round(l_extendedprice * (1 - l_discount), 4) as value from it join orders on o_orderkey = l_orderkey")
@@ -240,11 +240,11 @@ def _tree(spark, sf):
 
 
 _query("lift_aggregate", "select round(sum(l_extendedprice), 2) as total, count(*) as n, max(l_quantity) as top from lineitem join orders on o_orderkey = l_orderkey")(
-    lambda s, sf: lift.aggregate(ENGINE, star.resource(s, sf, "Order"), "Order.item.price", {"total": "sum", "n": "count"}, "Order").select(F.round("total", 2).alias("total"), "n").crossJoin(
-        lift.aggregate(ENGINE, star.resource(s, sf, "Order"), "Order.item.quantity", {"top": "max"}, "Order")
+    lambda s, sf: lift.aggregate(ENGINE, star.resource(s, sf, "Order", ["Order.item.price"]), "Order.item.price", {"total": "sum", "n": "count"}, "Order").select(F.round("total", 2).alias("total"), "n").crossJoin(
+        lift.aggregate(ENGINE, star.resource(s, sf, "Order", ["Order.item.quantity"]), "Order.item.quantity", {"top": "max"}, "Order")
     )
 )
-_query("lift_distinct", "select distinct l_returnflag as value from lineitem join orders on o_orderkey = l_orderkey")(lambda s, sf: lift.distinct(ENGINE, star.resource(s, sf, "Order"), "Order.item.returnFlag", "Order"))
+_query("lift_distinct", "select distinct l_returnflag as value from lineitem join orders on o_orderkey = l_orderkey")(lambda s, sf: lift.distinct(ENGINE, star.resource(s, sf, "Order", ["Order.item.returnFlag"]), "Order.item.returnFlag", "Order"))
 _query("lift_group", "select c_mktsegment as segment, count(c_acctbal) as n, round(sum(c_acctbal), 2) as total from customer group by 1")(
     lambda s, sf: lift.group(ENGINE, star.resource(s, sf, "Customer"), {"segment": "segment"}, {"n": ("count", "balance"), "total": ("sum", "balance")}, "Customer").withColumn("total", F.round("total", 2))
 )
@@ -261,7 +261,7 @@ _query("lift_top", "select cast(o_orderkey as varchar) as id, o_totalprice as to
 )
 def _project(spark, sf):
     return ENGINE.project(
-        star.resource(spark, sf, "Order"),
+        star.resource(spark, sf, "Order", ["item.first().price"]),
         {
             "status": "status.upper()",
             "speed": {"path": "priority", "choices": {"1-URGENT": "now", "2-HIGH": "soon"}},
@@ -287,7 +287,7 @@ class OrderView(View):
 
 @_query("view_rows", f"{_O}, cast(o_orderkey as varchar) as number, (select count(*) from lineitem where l_orderkey = o_orderkey) as lines, o_totalprice > 150000 as dear from orders")
 def _view(spark, sf):
-    return OrderView.project(ENGINE, star.resource(spark, sf, "Order"), keep=["id"])
+    return OrderView.project(ENGINE, star.resource(spark, sf, "Order", ["item.count()"]), keep=["id"])
 
 
 @_query(
@@ -300,7 +300,7 @@ def _constraints(spark, sf):
         {"key": "has-items", "expression": "item.exists()", "severity": "warning"},
         {"key": "few-lines", "expression": "item.count() <= 6"},
     ]
-    return ENGINE.check_constraints(star.resource(spark, sf, "Order"), rules, kind="Order").select("id", "constraint", "severity")
+    return ENGINE.check_constraints(star.resource(spark, sf, "Order", [r["expression"] for r in rules]), rules, kind="Order").select("id", "constraint", "severity")
 
 
 @_query("custom_functions", f"{_O}, round(o_totalprice * 0.9, 4) as net, o_totalprice > 200000 as vip, 'ORD-' || o_orderkey as tag from orders")
@@ -317,7 +317,7 @@ def _custom(spark, sf):
 
 
 _query("criteria_filter", f"{_O} from orders where o_totalprice > 100000 and exists (select 1 from lineitem where l_orderkey = o_orderkey)")(
-    lambda s, sf: ENGINE.filter(star.resource(s, sf, "Order"), "total > 100000 and item.exists()", kind="Order").select("id")
+    lambda s, sf: ENGINE.filter(star.resource(s, sf, "Order", ["total > 100000 and item.exists()"]), "total > 100000 and item.exists()", kind="Order").select("id")
 )
 
 
