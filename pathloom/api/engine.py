@@ -27,6 +27,12 @@ def root_of(df: DataFrame, kind: str | None, model: Model | None, only: set[str]
     return Coll(struct, Ty("Struct", T.StructType(fields), f"{model.namespace}.{kind}" if model and kind else None), True)
 
 
+def fresh(df: DataFrame, stem: str) -> str:
+    """A column name that df doesn't have."""
+    have = {x.lower() for x in df.columns}
+    while stem in have:
+        stem = "_" + stem
+    return stem
 
 
 @dataclass(frozen=True)
@@ -84,8 +90,24 @@ class Engine:
         out = k.walk(node, k.root, Scope(k.root, variables=dict(scope_vars or {})))
         return k.settle(out)
 
+    def unwrapped(self, df: DataFrame, expressions: list, kind: str | None) -> DataFrame:
+        """Bundles as rows of their resources of the type that the expressions begin
+        with, where that is not Bundle; anything else as it is."""
+        entry = df.schema["entry"].dataType if "entry" in df.columns else None
+        if not isinstance(entry, T.ArrayType) or not isinstance(entry.elementType, T.StructType) or "resource" not in entry.elementType.names:
+            return df
+        resource = entry.elementType["resource"].dataType
+        kinds = {kind or head_type(parse(e) if isinstance(e, str) else e, self.model) for e in expressions} - {None}
+        if "Bundle" in kinds or not kinds or not isinstance(resource, T.StructType):
+            return df
+        if len(kinds) > 1:
+            raise PathTypeError(f"one row can't be of several types: {', '.join(sorted(kinds))}")
+        rows = df.select(F.explode("entry.resource").alias("r")).where("r is not null").select("r.*")
+        return rows.where(F.col("resourceType") == kinds.pop()) if "resourceType" in resource.names else rows
+
     def evaluate(self, df: DataFrame, expression: str, key: str = "id", kind: str | None = None, typed: bool = False) -> DataFrame:
-        """One row for each result: key, position, value (and type)."""
+        """One row for each result: key, position, value (and type). Bundles are unwrapped."""
+        df = self.unwrapped(df, [expression], kind)
         x = self.compile(df, expression, kind)
         if x.single:
             rows = df.select(df[key].alias(key), F.lit(0).alias("position"), x.col.alias("value")).where("value is not null")
@@ -103,6 +125,7 @@ class Engine:
         return c.holds(self.compile(df, expression, kind))
 
     def filter(self, df: DataFrame, expression: str, kind: str | None = None) -> DataFrame:
+        df = self.unwrapped(df, [expression], kind)
         # a row whose criterion is empty goes either way: bare, the condition reaches the scan
         return df.where(c.boolean(self.compile(df, expression, kind)))
 
@@ -114,12 +137,15 @@ class Engine:
 
         if isinstance(columns, type):
             return columns.project(self, df)
+        specs = [{"path": x} if isinstance(x, str) else x for x in columns.values()]
+        df = self.unwrapped(df, [e for x in specs for e in (x.get("path") or x.get("test"),) if e], kind)
         bound: dict = {}
         if row_order is not None:
             from pyspark.sql import Window as W
 
-            df = df.withColumn("__row", F.row_number().over(W.orderBy(row_order)) - 1).withColumn("__rows", F.count(F.lit(1)).over(W.partitionBy()))
-            bound = {"rowIndex": c.scalar(df["__row"].cast("bigint"), c.INTEGER), "rowTotal": c.scalar(df["__rows"], c.INTEGER)}
+            row, rows = fresh(df, "row"), fresh(df, "rows")
+            df = df.withColumn(row, F.row_number().over(W.orderBy(row_order)) - 1).withColumn(rows, F.count(F.lit(1)).over(W.partitionBy()))
+            bound = {"rowIndex": c.scalar(df[row].cast("bigint"), c.INTEGER), "rowTotal": c.scalar(df[rows], c.INTEGER)}
         for name, e in (variables or {}).items():
             bound[name.removeprefix("%")] = self.compile(df, e, kind, bound)
         out = [df[k] for k in keep]

@@ -79,6 +79,32 @@ def _fixpoint(k, x: Coll, args, scope) -> Coll:
     return c.array(col, x.ty, ordered=False)
 
 
+def _merged(a: T.DataType, b: T.DataType) -> T.DataType:
+    """A type that holds what either holds, with all fields of both."""
+    if a == b or isinstance(b, T.NullType):
+        return a
+    if isinstance(a, T.StructType) and isinstance(b, T.StructType):
+        both = [T.StructField(f.name, _merged(f.dataType, b[f.name].dataType) if f.name in b.names else f.dataType) for f in a.fields]
+        return T.StructType(both + [T.StructField(f.name, f.dataType) for f in b.fields if f.name not in a.names])
+    if isinstance(a, T.ArrayType) and isinstance(b, T.ArrayType):
+        return T.ArrayType(_merged(a.elementType, b.elementType))
+    if isinstance(a, T.NullType):
+        return b
+    raise PathTypeError(f"repeat() finds {a.simpleString()} and {b.simpleString()} under one name")
+
+
+def _padded(v: Column, have: T.DataType, want: T.DataType) -> Column:
+    """v with nulls for the fields that it lacks."""
+    if have == want:
+        return v
+    if isinstance(want, T.StructType):
+        fields = [(_padded(v[f.name], have[f.name].dataType, f.dataType) if f.name in have.names else F.lit(None).cast(f.dataType)).alias(f.name) for f in want.fields]
+        return F.when(v.isNotNull(), F.struct(*fields))
+    if isinstance(want, T.ArrayType) and isinstance(have, T.ArrayType):
+        return F.transform(v, lambda x: _padded(x, have.elementType, want.elementType))
+    return v.cast(want)
+
+
 @function("repeat", 1)
 def repeat(k, x, args, scope):
     """Rounds of the projection, as deep as the schema goes; values that are not
@@ -99,10 +125,13 @@ def repeat(k, x, args, scope):
         raise PathTypeError("the types of repeat() do not settle")
     if not found:
         return c.nothing()
-    kinds = {f.ty.dt.json() for f in found}
-    if len(kinds) > 1 and found[0].ty.name == "Struct":
-        shared = [n for n in found[-1].ty.dt.names if all(n in f.ty.dt.names and f.ty.dt[n].dataType == found[-1].ty.dt[n].dataType for f in found)]
-        found = [c.mapped(f, lambda v: F.struct(*[v[n].alias(n) for n in shared]), c.Ty("Struct", T.StructType([found[-1].ty.dt[n] for n in shared]), f.ty.model)) for f in found]
+    if found[0].ty.name == "Struct" and len({f.ty.dt.json() for f in found}) > 1:
+        # a recursive type ends a level earlier at each depth
+        whole = found[0].ty.dt
+        for f in found[1:]:
+            whole = _merged(whole, f.ty.dt)
+        pad = lambda dt: lambda v: _padded(v, dt, whole)
+        found = [c.mapped(f, pad(f.ty.dt), c.Ty("Struct", whole, f.ty.model)) for f in found]
     out = found[0].with_(ordered=False)
     for f in found[1:]:
         a, b = c.common(out, f)
@@ -361,13 +390,14 @@ def _sum(x: Coll) -> Coll:
         return x
     dt = x.ty.dt if not isinstance(x.ty.dt, (T.IntegerType, T.ShortType, T.ByteType)) else T.LongType()
     if isinstance(dt, T.DecimalType):
-        dt = T.DecimalType(38, dt.scale)
+        # room for ten digits more, and for Spark to add without giving up a place
+        dt = T.DecimalType(max(dt.precision, min(37, dt.precision + 10)), dt.scale)
     ty = c.Ty(x.ty.name, dt)
     if x.ty.name == "Quantity":
-        unit = F.get(x.col, F.lit(0))["unit"]
-        same = F.forall(x.col, lambda v: v["unit"] == unit)
-        total = F.aggregate(x.col, F.lit(0).cast(c.DEC), lambda a, v: (a + v["value"]).cast(c.DEC))
-        return c.scalar(F.when((F.size(x.col) > 0) & same, F.struct(total.alias("value"), unit.alias("unit"))), c.QTY)
+        # like repeated +: at the smaller unit, empty where two don't go together
+        one = lambda v: c.scalar(v, c.QTY)
+        rest = F.slice(x.col, F.lit(2), F.greatest(F.size(x.col) - 1, F.lit(0)))
+        return one(F.aggregate(rest, F.get(x.col, F.lit(0)), lambda a, v: o.quantities("+", one(a), one(v)).col.cast(c.QUANTITY)))
     zero = F.lit(0).cast(dt)
     return c.scalar(F.when(F.size(x.col) > 0, F.aggregate(x.col, zero, lambda a, v: (a + v).cast(dt))), ty)
 
@@ -385,10 +415,14 @@ def avg(k, x, args, scope):
     total = _sum(x)
     n = F.size(x.col)
     if x.ty.name == "Quantity":
-        return c.scalar(F.when(total.col.isNotNull(), F.struct((total.col["value"].cast("decimal(28,9)") / n).cast(c.DEC).alias("value"), total.col["unit"].alias("unit"))), c.QTY)
+        mean = o.divided(total.col["value"], (38, 12), n, (10, 0))[0].cast(c.DEC)
+        return c.scalar(F.when(total.col.isNotNull(), F.struct(mean.alias("value"), total.col["unit"].alias("unit"))), c.QTY)
     if isinstance(total.ty.dt, T.DoubleType):
         return c.scalar(total.col / F.when(n > 0, n), c.DOUBLE)
-    return c.scalar((total.col.cast("decimal(28,9)") / F.when(n > 0, n)).cast(c.DEC), c.DECIMAL)
+    p, s = c.digits(x.ty)
+    # the sum of decimals that have room to spare has it still
+    mean, dt = o.divided(total.col, (max(p, min(37, p + 10)) if s else p, s), n, (10, 0))
+    return c.scalar(mean, c.Ty("Decimal", dt))
 
 
 def _extreme(name, pick, sign):

@@ -131,6 +131,13 @@ def _boundary(name, low):
                     v = v.quantize(Decimal(1).scaleb(-scale), ROUND_FLOOR if low else ROUND_CEILING)
                 s = min(scale, 20)
                 return c.scalar(F.lit(v).cast(T.DecimalType(38, s)), Ty("Decimal", T.DecimalType(38, s)), scale=s)
+            if isinstance(x.ty.dt, T.DecimalType):
+                p, s = min(38, x.ty.dt.precision + 2), x.ty.dt.scale + 1
+                half = F.lit(Decimal(5).scaleb(-s)).cast(T.DecimalType(s + 1, s))
+                v, dt = o.added("-" if low else "+", x.col, (p, s), half, (s + 1, s))
+                out = T.DecimalType(38, min(scale, s))
+                v = v if scale >= s else (F.floor if low else F.ceil)(v, F.lit(scale))
+                return c.scalar(v.cast(out), Ty("Decimal", out), scale=out.scale)
             text = F.regexp_extract(c.to_text(x.col, x.ty), r"\.(\d+)$", 1)
             digits_ = F.length(text) if own is None else F.lit(own)
             half = F.pow(F.lit(10.0), -digits_) / 2

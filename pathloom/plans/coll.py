@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, replace
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -225,7 +226,19 @@ def wider(a: Ty, b: Ty) -> Ty:
         return LONG
     if isinstance(a.dt, (T.DoubleType, T.FloatType)) or isinstance(b.dt, (T.DoubleType, T.FloatType)):
         return DOUBLE
-    return DECIMAL
+    (p, s), (q, r) = digits(a), digits(b)
+    scale = max(s, r)
+    return Ty("Decimal", T.DecimalType(min(38, max(p - s, q - r) + scale), scale))
+
+
+def digits(ty: Ty, const: object = None) -> tuple[int, int]:
+    """Digits and places of a whole or decimal number."""
+    if const is not None:
+        _, figures, places = Decimal(str(const)).as_tuple()
+        return max(len(figures) + max(places, 0), -places, 1), max(-places, 0)
+    if isinstance(ty.dt, T.DecimalType):
+        return ty.dt.precision, ty.dt.scale
+    return {T.IntegerType: 10, T.ShortType: 5, T.ByteType: 3}.get(type(ty.dt), 19), 0
 
 
 def cast(c: Coll, ty: Ty) -> Coll:

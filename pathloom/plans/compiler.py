@@ -114,7 +114,10 @@ class Compiler:
             case "Decimal":
                 d = Decimal(n.text)
                 scale = -d.as_tuple().exponent
-                return c.scalar(F.lit(d).cast(T.DecimalType(38, min(scale, 20))), Ty("Decimal", T.DecimalType(38, min(scale, 20))), const=d, scale=scale)
+                digits, places = c.digits(c.DECIMAL, d)
+                if digits > 38:
+                    raise PathTypeError(f"{n.text} has more than 38 digits")
+                return c.scalar(F.lit(d).cast(T.DecimalType(digits, places)), Ty("Decimal", T.DecimalType(digits, places)), const=d, scale=scale)
         return c.scalar(F.lit(n.text), Ty(n.type, T.StringType()), const=n.text)
 
     # navigation

@@ -58,8 +58,7 @@ def equal_items(a: Column, b: Column, ta: Ty, tb: Ty, ca: object = None, cb: obj
     if "Empty" in (ta.name, tb.name):
         return null()
     if ta.name in c.NUMERIC and tb.name in c.NUMERIC:
-        ty = c.wider(ta, tb)
-        return a.cast(ty.dt) == b.cast(ty.dt) if ta.dt != tb.dt else a == b
+        return a == b
     if ta.name == tb.name and ta.name in ("String", "Boolean"):
         return a == b
     if {ta.name, tb.name} <= {"Date", "DateTime"} or ta.name == tb.name == "Time":
@@ -200,13 +199,13 @@ def numbers(op: str, a: Coll, b: Coll) -> Coll:
     if op == "/":
         if floating:
             return c.scalar(F.when(y != 0, x / y), c.DOUBLE)
-        x, y = (z.cast(T.DecimalType(18, 6)) for z in (x, y))
-        return c.scalar(F.try_divide(x, y).cast(c.DEC), c.DECIMAL)
+        out, dt = divided(x, c.digits(a.ty, a.const), y, c.digits(b.ty, b.const))
+        return c.scalar(out, Ty("Decimal", dt))
     if op == "div":
         out = F.when(y != 0, _floor0(x / y)) if floating else F.when(y != 0, F.try_divide(x - F.try_mod(x, y), y))
         return c.scalar(F.round(out, 0).cast("bigint"), c.INTEGER if ty.name != "Long" else c.LONG)
     if op == "mod":
-        return c.scalar(F.when(y != 0, x % y) if floating else F.try_mod(x, y), ty if floating or ty.name != "Decimal" else Ty("Decimal", T.DecimalType(38, 12))).with_(col=(F.when(y != 0, x % y) if floating else F.try_mod(x, y).cast(ty.dt)))
+        return c.scalar(F.when(y != 0, x % y) if floating else F.try_mod(x, y).cast(ty.dt), ty)
     if ty.name in ("Integer", "Long"):
         x, y = x.cast("bigint"), y.cast("bigint")
         out = {"+": F.try_add, "-": F.try_subtract, "*": F.try_multiply}[op](x, y)
@@ -223,11 +222,54 @@ def numbers(op: str, a: Coll, b: Coll) -> Coll:
     scale = None
     if a.scale is not None and b.scale is not None:
         scale = a.scale + b.scale if op == "*" else max(a.scale, b.scale)
-    if op == "*":
-        x, y = (z.cast(T.DecimalType(19, min(9, s if (s := (k.scale if k.scale is not None else 6)) is not None else 6))) for z, k in ((x, a), (y, b)))
-    out = {"+": F.try_add, "-": F.try_subtract, "*": F.try_multiply}[op](x, y)
-    ty = Ty("Decimal", T.DecimalType(38, min(scale if scale is not None else 12, 18)))
-    return c.scalar(out.cast(ty.dt), ty, scale=scale)
+    da, db = c.digits(a.ty, a.const), c.digits(b.ty, b.const)
+    out, dt = multiplied(x, da, y, db) if op == "*" else added(op, x, da, y, db)
+    return c.scalar(out, Ty("Decimal", dt), scale=scale if scale is None or scale <= dt.scale else None)
+
+
+def added(op: str, x: Column, dx: tuple[int, int], y: Column, dy: tuple[int, int]) -> tuple[Column, T.DecimalType]:
+    """Exact, null where 38 digits don't hold it. dx, dy: digits and places."""
+    scale = max(dx[1], dy[1])
+    whole = min(max(dx[0] - dx[1], dy[0] - dy[1]), 37 - scale)
+    x, y = (z.try_cast(T.DecimalType(whole + scale, scale)) for z in (x, y))
+    dt = T.DecimalType(whole + scale + 1, scale)
+    return (F.try_add if op == "+" else F.try_subtract)(x, y).cast(dt), dt
+
+
+def multiplied(x: Column, dx: tuple[int, int], y: Column, dy: tuple[int, int]) -> tuple[Column, T.DecimalType]:
+    """Exact where the types leave room; else exact for operands of 18 digits with 9
+    places, and with 6 places for others that 38 digits hold."""
+    if dx[0] + dy[0] < 38:
+        dt = T.DecimalType(dx[0] + dy[0] + 1, dx[1] + dy[1])
+        return F.try_multiply(x.cast(T.DecimalType(*dx)), y.cast(T.DecimalType(*dy))).cast(dt), dt
+    dt = T.DecimalType(38, min(dx[1] + dy[1], 18))
+    u, v = (z.try_cast(T.DecimalType(18, min(d[1], 9))) for z, d in ((x, dx), (y, dy)))
+    wide = F.try_multiply(x.cast(T.DecimalType(*dx)), y.cast(T.DecimalType(*dy))).try_cast(dt)
+    return F.when((u == x) & (v == y), F.try_multiply(u, v).cast(dt)).otherwise(wide), dt
+
+
+#: Places of a quotient, where 38 digits hold them.
+PLACES = 24
+
+
+def divided(x: Column, dx: tuple[int, int], y: Column, dy: tuple[int, int]) -> tuple[Column, T.DecimalType]:
+    """Rounded to PLACES, or as many as the types leave room for; where that are few,
+    to 16 for operands of 12 whole digits and 8 or 6 places. Null for 0."""
+
+    def exact(x, dx, y, dy):
+        whole = dx[0] - dx[1] + dy[1]
+        places = max(6, min(PLACES, 38 - whole))
+        # the more places the dividend has, the more Spark gives the quotient
+        scale = max(dx[1], min(places, 38 - (dx[0] - dx[1])))
+        return F.try_divide(x.cast(T.DecimalType(dx[0] - dx[1] + scale, scale)), y.cast(T.DecimalType(*dy))), min(38, whole + places), places
+
+    if dx[0] - dx[1] + dy[1] <= 38 - 16:
+        out, p, s = exact(x, dx, y, dy)
+        return out.cast(T.DecimalType(p, s)), T.DecimalType(p, s)
+    dt = T.DecimalType(38, 16)
+    u, v = x.try_cast(T.DecimalType(20, 8)), y.try_cast(T.DecimalType(18, 6))
+    narrow, wide = exact(u, (20, 8), v, (18, 6))[0], F.try_divide(x.cast(T.DecimalType(*dx)), y.cast(T.DecimalType(*dy)))
+    return F.when((u == x) & (v == y), narrow.try_cast(dt)).otherwise(wide.try_cast(dt)), dt
 
 
 def shift(a: Coll, q: Coll, sign: int) -> Coll:
@@ -262,7 +304,7 @@ def quantities(op: str, a: Coll, b: Coll) -> Coll:
     if op == "*":
         unit = F.when(ua == one, ub).when(ub == one, ua).otherwise(F.concat(ua, F.lit("."), ub))
         both = ua.isin(*units.CALENDAR) & ub.isin(*units.CALENDAR)
-        return c.scalar(F.when(present & ~both, make(va.cast("decimal(19,6)") * vb.cast("decimal(19,6)"), unit)), c.QTY)
+        return c.scalar(F.when(present & ~both, make(multiplied(va, (38, 12), vb, (38, 12))[0].try_cast(c.DEC), unit)), c.QTY)
     same = (da == db) & (ua.isin(*units.CALENDAR) | ub.isin(*units.CALENDAR) | (ua == ub))
     value = F.when(same, F.round(va.cast("double") * fa / (vb.cast("double") * fb), 12)).otherwise(va.cast("double") / vb.cast("double"))
     unit = F.when(same, one).when(ub == one, ua).otherwise(F.concat(ua, F.lit("/"), ub))

@@ -140,6 +140,11 @@ def test_questionnaire_repeat(spark):
     df = from_objects(spark, [q])
     got = [r.value for r in ENGINE.evaluate(df, "Questionnaire.repeat(item).linkId").collect()]
     assert sorted(got) == ["1", "1.1", "1.1.1", "1.2", "2"]
+    uneven = {"resourceType": "Questionnaire", "id": "u", "item": [{"linkId": "1", "text": "only top", "item": [{"linkId": "2", "item": [{"linkId": "3"}]}]}]}
+    df = from_objects(spark, [uneven])
+    assert [r.value for r in ENGINE.evaluate(df, "Questionnaire.repeat(item).text").collect()] == ["only top"]
+    assert [r.value for r in ENGINE.evaluate(df, "Questionnaire.repeat(item).where(item.exists()).count()").collect()] == [2]
+    assert sorted(r.value for r in ENGINE.evaluate(df, "Questionnaire.repeat(item).linkId").collect()) == ["1", "2", "3"]
 
 
 def test_bundle_and_resolve(spark):
@@ -150,6 +155,11 @@ def test_bundle_and_resolve(spark):
     got = ENGINE.evaluate(df, "entry.resource.ofType(Observation).subject.resolve().ofType(Patient).id", kind="Bundle").collect()
     assert [r.value for r in got] == ["p"]
     assert {r.id for r in bundle_entries(df).collect()} == {"p", "o"}
+    # a path that begins with another type looks into the entries
+    assert [r.value for r in ENGINE.evaluate(df, "Patient.gender").collect()] == ["male"]
+    assert [r.value for r in ENGINE.evaluate(df, "Bundle.entry.count()").collect()] == [2]
+    assert [r.id for r in ENGINE.filter(df, "Patient.gender = 'male'").collect()] == ["p"]
+    assert [tuple(r) for r in ENGINE.project(df, {"who": "Observation.subject.reference"}, keep=["id"]).collect()] == [("o", "Patient/p")]
 
 
 def test_schemaless(spark):
