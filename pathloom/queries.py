@@ -70,7 +70,19 @@ _per_order(
     "coalesce(bool_and(l_quantity > 10), true) as at, coalesce(bool_or(l_quantity > 49), false) as ot, coalesce(bool_and(not l_tax > 0.07), true) as af, coalesce(bool_or(not l_tax > 0.01), false) as of",
 )
 _scalar("of_type_is", "Order", {"a": "status is string", "b": "total is integer", "c": "status.ofType(string)", "d": "(status as string).length()"}, f"{_O}, true as a, false as b, o_orderstatus as c, length(o_orderstatus)::bigint as d from orders")
-_scalar("type_reflection", "Order", {"a": "total.type().name", "b": "Order.type().namespace"}, f"{_O}, 'decimal' as a, 'Star' as b from orders")
+_D = "select cast(d.doc_id as varchar) as id"
+_DL = "from documents d left join labels l on l.doc_id = d.doc_id"
+_scalar("type_reflection", "Document", {"a": "label.quality.type().name", "b": "label.type().namespace", "c": "label.quality.is(integer)", "d": "label.quality is string"}, f"{_D}, case when quality is not null then 'integer' end as a, case when l.doc_id is not null then 'Star' end as b, case when quality is not null then true end as c, case when quality is not null then false end as d {_DL}")
+_scalar(
+    "values_and_variables",
+    "Document",
+    {
+        "a": "label.quality.hasValue()", "b": "label.quality.getValue()", "c": "label.single().toxic", "d": "lang.union(source).count()", "e": "lang !~ 'EN'", "f": "label.quality.as(integer)",
+        "g": "defineVariable('n', chars * 2).select(%n + chars)", "h": "chars.trace('chars') > 5L", "i": "/* whole */ chars * 1.5 // and half", "j": "label.quality.union(label.toxic).sum()", "k": "(label.quality | {}).count()", "l": "(label.toxic = 1) = true",
+    },
+    f"{_D}, case when quality is not null then true end as a, quality::bigint as b, toxic::bigint as c, (case when lang = source then 1 else (lang is not null)::int + (source is not null)::int end)::bigint as d, lower(lang) <> 'en' as e, quality::bigint as f, "
+    f"n_chars * 3 as g, n_chars > 5 as h, n_chars * 1.5::double as i, case when quality is not null then quality + case when toxic = quality then 0 else toxic end end::bigint as j, (quality is not null)::bigint as k, toxic = 1 as l {_DL}",
+)
 
 # aggregates
 _per_order(
@@ -175,16 +187,72 @@ _scalar(
 _query("date_filter", f"{_O} from orders where o_orderdate >= timestamp '1995-01-01' and o_orderdate < timestamp '1996-01-01' and o_totalprice > 100000")(
     lambda s, sf: ENGINE.filter(star.resource(s, sf, "Order"), "date > @1994 and date < @1996 and total > 100000").select("id")
 )
-_scalar("clock", "Region", {"a": "today().toString()", "b": "now() > @2024-01-01", "c": "timeOfDay().toString()"}, "select cast(r_regionkey as varchar) as id, '2024-05-06' as a, true as b, '07:08:09.123' as c from region")
+
+
+@_query("clock", f"{_O}, o_orderdate::date < date '1996-06-15' as past, o_orderdate::date = date '1996-06-15' as same, hour(o_orderdate) < 12 as early from orders")
+def _clock(spark, sf):
+    e = Engine(STAR, now="1996-06-15T12:00:00.000Z")
+    columns = {"past": "date.dateOf() < today()", "same": "date.dateOf() = now().dateOf()", "early": "date.hourOf() < timeOfDay().hourOf()"}
+    return e.project(star.resource(spark, sf, "Order", columns.values()), columns, kind="Order", keep=["id"])
+
+
+_scalar(
+    "temporal_conversions",
+    "Event",
+    {"a": "ts.toString().toDateTime() = ts", "b": "ts.toString().convertsToDateTime()", "c": "ts.dateOf().toString().toDate().dayOf()", "d": "ts.timeOf().toString().toTime().minuteOf()", "e": "ts.millisecondOf()", "f": "type.convertsToDate()", "g": "(ts.toString() & 'Z').toDateTime().timezoneOffsetOf()", "h": "ts.toString().substring(11).convertsToTime()", "i": "type.toTime().empty()"},
+    "select cast(event_id as varchar) as id, true as a, true as b, day(ts)::bigint as c, minute(ts)::bigint as d, (millisecond(ts) % 1000)::bigint as e, false as f, 0.0::double as g, true as h, true as i from events",
+)
 _per_order(
     "quantities",
     {"a": "item.where((quantity.toString() & ' \\'kg\\'').toQuantity() > 20000 'g').count()", "b": "(total.toQuantity() + 1 '1').value.round(2)", "c": "1 'kg' = 1000 'g'", "d": "7 days = 1 week", "e": "(1 year).comparable(1 'a')"},
     "count(*) filter (l_quantity > 20)::bigint as a, round(o_totalprice + 1, 2) as b, true as c, true as d, true as e",
 )
-_scalar("boundaries", "Order", {"a": "1.587.lowBoundary(2).toString()", "b": "@2014.highBoundary().toString()", "c": "@T10:30.lowBoundary().toString()"}, f"{_O}, '1.58' as a, '2014-12-31' as b, '10:30:00.000' as c from orders")
+
+
+def _priced(spark: SparkSession, sf: str, digits: str) -> DataFrame:
+    return star.resource(spark, sf, "Part").withColumn("price", F.col("price").cast(digits))
+
+
+@_query("boundaries", "select cast(p_partkey as varchar) as id, floor((cast(p_retailprice as decimal(18,4)) - 0.00005::decimal(18,5)) * 10)::double / 10 as lo, ceil((cast(p_retailprice as decimal(18,4)) + 0.00005::decimal(18,5)) * 10)::double / 10 as hi, (cast(p_retailprice as decimal(18,4)) - 0.00005::decimal(18,5))::double as edge, 4::bigint as places from part")
+def _edges(spark, sf):
+    out = ENGINE.project(_priced(spark, sf, "decimal(12,4)"), {"lo": "price.lowBoundary(1)", "hi": "price.highBoundary(1)", "edge": "price.lowBoundary(8)", "places": "price.precision()"}, kind="Part", keep=["id"])
+    return out.select("id", *[F.col(x).cast("double").alias(x) for x in ("lo", "hi", "edge")], "places")
+
+
+@_query(
+    "decimals",
+    "with p as (select *, cast(p_retailprice as decimal(24,8)) as x from part) select cast(p_partkey as varchar) as id, round(x::double / 7, 9) as q, cast(x * 1.00000001::decimal(10,8) as double) as m, cast(x + 0.00000001::decimal(12,8) as double) as s, "
+    "cast(x - p_size as double) as d, round(cast(x % 7.5::decimal(4,1) as double), 8) as r, cast(floor(x / 7) as bigint) as i, true as back, -cast(x as double) as neg, round((x::double + p_size) / 2, 8) as mean from p",
+)
+def _decimals(spark, sf):
+    e = {"q": "(price / 7).round(9)", "m": "price * 1.00000001", "s": "price + 0.00000001", "d": "price - size", "r": "price mod 7.5", "i": "price div 7", "back": "price / 3 * 3 ~ price", "neg": "-price", "mean": "price.combine(size).avg().round(8)"}
+    out = ENGINE.project(_priced(spark, sf, "decimal(20,8)"), e, kind="Part", keep=["id"])
+    return out.select("id", "i", "back", *[F.col(x).cast("double").alias(x) for x in ("q", "m", "s", "d", "r", "neg", "mean")])
+
+
+@_query(
+    "quantity_columns",
+    f"with {_IT}, w as (select l_orderkey, sum(l_quantity) as grams, count(*) as n from lineitem group by 1) {_O}, round(sum(case when l_linenumber % 2 = 0 then l_quantity * 1000 else l_quantity end), 3) as total, count(*) filter (l_quantity > 10) as heavy, "
+    "bool_or(l_linenumber % 2 = 1) and bool_or(l_linenumber % 2 = 0) as mixed from orders join lineitem on l_orderkey = o_orderkey group by o_orderkey",
+)
+def _mixed_units(spark, sf):
+    line = spark.read.parquet(f"{sf}/lineitem.parquet")
+    unit = F.when(F.col("l_linenumber") % 2 == 0, "kg").otherwise("g")
+    df = line.groupBy(F.col("l_orderkey").cast("string").alias("id")).agg(F.collect_list(F.struct(F.col("l_quantity").cast("decimal(18,3)").alias("value"), unit.alias("unit"))).alias("weight"))
+    e = Engine()
+    out = e.project(df, {"total": "weight.sum()", "heavy": "weight.where(value > 10).count()", "mixed": "weight.unit.distinct().count() > 1"}, keep=["id"])
+    grams = F.when(F.col("total.unit") == "kg", F.col("total.value") * 1000).otherwise(F.col("total.value"))
+    orders = star.resource(spark, sf, "Order", []).select("id")
+    return out.join(orders, "id").select("id", F.round(grams.cast("double"), 3).alias("total"), F.col("heavy").cast("bigint").alias("heavy"), "mixed")
+
+
+@_query("typed_results", f"{_O}, o_orderstatus as value, 'Star.string' as type from orders")
+def _typed(spark, sf):
+    return ENGINE.evaluate(star.resource(spark, sf, "Order", []), "Order.status", kind="Order", typed=True).select("id", "value", F.lit("Star.string").alias("type"))
+
 
 # tree, schemaless data, narrative, vectors
-_scalar("children_count", "Nation", {"n": "children().count()", "d": "region.descendants().count()"}, "select cast(n_nationkey as varchar) as id, 4::bigint as n, 1::bigint as d from nation")
+_scalar("children_count", "Document", {"n": "children().count()", "d": "label.descendants().count()", "all": "descendants().count()"}, f"{_D}, 3 + (text is not null)::bigint + (lang is not null)::bigint + (source is not null)::bigint + (l.doc_id is not null)::bigint as n, (quality is not null)::bigint + (toxic is not null)::bigint as d, 3 + (text is not null)::bigint + (lang is not null)::bigint + (source is not null)::bigint + (l.doc_id is not null)::bigint + (quality is not null)::bigint + (toxic is not null)::bigint as all {_DL}")
 
 
 @_query("props_variant", "select cast(event_id as varchar) as id, cast(json_extract_string(props, '$.k') as bigint) as k, json_extract(props, '$.k') is not null as has from events")
@@ -220,8 +288,8 @@ def _env(spark, sf):
 _query("semi_join", "select cast(c_custkey as varchar) as id from customer where c_custkey in (select o_custkey from orders)")(
     lambda s, sf: joins.semi(ENGINE, star.resource(s, sf, "Customer"), "'Customer/' & id", star.resource(s, sf, "Order").drop("item"), "customer.reference", env_kind="Order", kind="Customer").select("id")
 )
-_query("anti_join", "select cast(c_custkey as varchar) as id from customer where c_custkey not in (select o_custkey from orders)")(
-    lambda s, sf: joins.semi(ENGINE, star.resource(s, sf, "Customer"), "'Customer/' & id", star.resource(s, sf, "Order").drop("item"), "customer.reference", env_kind="Order", kind="Customer", anti=True).select("id")
+_query("anti_join", "select cast(c_custkey as varchar) as id from customer where c_custkey not in (select o_custkey from orders where o_totalprice > 300000)")(
+    lambda s, sf: joins.semi(ENGINE, star.resource(s, sf, "Customer"), "'Customer/' & id", ENGINE.filter(star.resource(s, sf, "Order").drop("item"), "total > 300000", kind="Order"), "customer.reference", env_kind="Order", kind="Customer", anti=True).select("id")
 )
 
 
