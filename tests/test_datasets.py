@@ -173,3 +173,15 @@ def test_streams(spark, tmp_path):
     s.processAllAvailable()
     s.stop()
     assert spark.sql("select sum(n) from win_out").first()[0] == spark.read.parquet(path).count()
+
+
+def test_orders_gather_only_what_is_named(spark):
+    from pathloom.sources import star
+
+    assert star.needed(["item.count()", "item.empty()"]) == (set(), False)
+    assert star.needed(["item.price.sum()", "item.where(quantity > 2).exists()"]) == ({"price", "quantity"}, False)
+    assert star.needed(["item.first().price"]) == ({"price"}, True)
+    assert star.needed(["item"])[0] is None and star.needed(["item.distinct().count()"])[0] is None and star.needed(["item = item"])[0] is None
+    assert star.needed(["total > 1"]) == (set(), False)
+    plan = star.resource(spark, "/root/testdata/sf0.001", "Order", ["item.count()"]).select("item")._jdf.queryExecution().executedPlan().toString()
+    assert "struct<l_orderkey:bigint>" in plan and "l_quantity" not in plan
