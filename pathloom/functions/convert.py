@@ -14,10 +14,12 @@ from pathloom.values import units
 _DATE = r"\d{4}(-(0[1-9]|1[0-2])(-(0[1-9]|[12]\d|3[01]))?)?"
 _TIME = r"([01]\d|2[0-3])(:[0-5]\d(:[0-5]\d(\.\d+)?)?)?"
 _ZONE = r"(Z|[+-]([01]\d|2[0-3]):[0-5]\d)?"
+_MOMENT, _CLOCK = rf"^{_DATE}(T({_TIME}{_ZONE})?)?$", rf"^T?{_TIME}$"
 
 
-def _pair(name: str, ty: Ty, build) -> None:
-    """build(scalar Column, Ty) -> Column or None where the type never converts."""
+def _pair(name: str, ty: Ty, build, form: str | None = None) -> None:
+    """build(scalar Column, Ty) -> Column or None where the type never converts;
+    form: the texts that convert, if those that match it do."""
 
     def convert(x: Coll) -> Coll:
         x = c.as_one(x, f"to{name}()")
@@ -35,6 +37,8 @@ def _pair(name: str, ty: Ty, build) -> None:
         one = c.as_one(x, f"convertsTo{name}()")
         if one.ty.name == "Empty":
             return c.nothing(c.BOOLEAN)
+        if form and one.ty.name == "String":
+            return c.scalar(F.rlike(one.col, F.lit(form)), c.BOOLEAN)
         return c.scalar(F.when(one.col.isNotNull(), convert(one).col.isNotNull()), c.BOOLEAN)
 
 
@@ -91,13 +95,18 @@ def _string(v, ty):
     return c.to_text(v, ty) if ty.name not in ("Struct", "TypeInfo") else None
 
 
+def _matching(v: Column, form: str) -> Column:
+    """v, or null where it doesn't match; v is named once, so that chains of conversions don't double."""
+    return F.get(F.regexp_extract_all(v, F.lit(form + r"\R?"), F.lit(0)), F.lit(0))
+
+
 def _date(v, ty):
     v, ty = _variant(v, ty)
     if ty.name in ("Date", "DateTime"):
         text = F.regexp_replace(c.temporal_text(v, ty), "T.*$", "")
         return text
     if ty.name == "String":
-        return F.when(F.rlike(v, F.lit(rf"^{_DATE}(T({_TIME}{_ZONE})?)?$")), F.regexp_replace(v, "T.*$", ""))
+        return F.regexp_replace(_matching(v, _MOMENT), "T.*$", "")
 
 
 def _datetime(v, ty):
@@ -105,7 +114,7 @@ def _datetime(v, ty):
     if ty.name in ("Date", "DateTime"):
         return c.temporal_text(v, ty)
     if ty.name == "String":
-        return F.when(F.rlike(v, F.lit(rf"^{_DATE}(T({_TIME}{_ZONE})?)?$")), v)
+        return _matching(v, _MOMENT)
 
 
 def _time(v, ty):
@@ -113,7 +122,7 @@ def _time(v, ty):
     if ty.name == "Time":
         return c.temporal_text(v, ty)
     if ty.name == "String":
-        return F.when(F.rlike(v, F.lit(rf"^T?{_TIME}$")), F.regexp_replace(v, "^T", ""))
+        return F.regexp_replace(_matching(v, _CLOCK), "^T", "")
 
 
 _pair("Boolean", c.BOOLEAN, _boolean)
@@ -121,9 +130,9 @@ _pair("Integer", c.INTEGER, _integer)
 _pair("Long", c.LONG, _long)
 _pair("Decimal", c.DECIMAL, _decimal)
 _pair("String", c.STRING, _string)
-_pair("Date", c.DATE, _date)
-_pair("DateTime", c.DATETIME, _datetime)
-_pair("Time", c.TIME, _time)
+_pair("Date", c.DATE, _date, _MOMENT)
+_pair("DateTime", c.DATETIME, _datetime, _MOMENT)
+_pair("Time", c.TIME, _time, _CLOCK)
 
 
 def _quantity(k, x: Coll, args, scope) -> Coll:

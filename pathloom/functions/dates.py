@@ -41,8 +41,16 @@ def _component(name, native, start, length, of_time=None):
         if x.ty.native and native and x.ty.name != "Time":
             return c.scalar(native(x.col).cast("bigint"), c.INTEGER)
         at = of_time if x.ty.name == "Time" else start
-        body = temporal.parts(x).body
-        return c.scalar(F.when(F.length(body) >= at + length - 1, F.substring(body, at, length).cast("bigint")), c.INTEGER)
+
+        def digits(p: temporal.Parts):
+            text = p.body if name == "millisecondOf" else p.shown
+            return F.when(F.length(text) >= at + length - 1, F.substring(text, at, length).cast("bigint"))
+
+        if x.ty.native or x.const is not None:
+            return c.scalar(temporal.with_parts(x, digits), c.INTEGER)
+        # without an offset it is the text itself that counts
+        plain = digits(temporal.Parts(x.col, x.col, temporal.body(x.col, x.ty.name), F.lit(""), x.ty.name == "Time", False))
+        return c.scalar(F.when(temporal.bare(x), plain).otherwise(temporal.with_parts(x, digits)), c.INTEGER)
 
 
 _component("yearOf", F.year, 1, 4)
@@ -51,7 +59,7 @@ _component("dayOf", F.day, 9, 2)
 _component("hourOf", F.hour, 12, 2, 1)
 _component("minuteOf", F.minute, 15, 2, 4)
 _component("secondOf", F.second, 18, 2, 7)
-_component("millisecondOf", None, 21, 3, 10)
+_component("millisecondOf", lambda v: (F.extract(F.lit("SECOND"), v) * 1000).cast("bigint") % 1000, 21, 3, 10)
 
 
 @function("timezoneOffsetOf")
@@ -59,9 +67,11 @@ def timezone_offset(k, x, args, scope):
     x = c.as_one(x, "timezoneOffsetOf()")
     if x.ty.name != "DateTime":
         return c.nothing(c.DECIMAL)
-    z = temporal.parts(x).zone
-    hours = F.concat(F.substring(z, 1, 1), F.lit("1")).try_cast("int") * (F.substring(z, 2, 2).try_cast("int") + F.substring(z, 5, 2).try_cast("int") / 60)
-    return c.scalar(F.when(z == "Z", F.lit(0.0)).when(z != "", hours), c.DOUBLE)
+    hours = lambda z: F.concat(F.substring(z, 1, 1), F.lit("1")).try_cast("int") * (F.substring(z, 2, 2).try_cast("int") + F.substring(z, 5, 2).try_cast("int") / 60)
+    offset = lambda z: F.when(z == "Z", F.lit(0.0)).when(z != "", hours(z))
+    if x.ty.native or x.const is not None:
+        return c.scalar(offset(temporal.zone(x)), c.DOUBLE)
+    return c.scalar(F.when(x.col.endswith("Z"), F.lit(0.0)).when(~temporal.bare(x), c.bind(temporal.zone(x), offset)), c.DOUBLE)
 
 
 @function("dateOf")
@@ -69,7 +79,7 @@ def date_of(k, x, args, scope):
     x = c.as_one(x, "dateOf()")
     if x.ty.name not in ("Date", "DateTime"):
         return c.nothing(c.DATE)
-    return c.scalar(F.regexp_replace(c.temporal_text(x.col, x.ty), "T.*$", ""), c.DATE)
+    return c.scalar(F.date_format(x.col, "yyyy-MM-dd") if x.ty.native else F.regexp_replace(x.col, "T.*$", ""), c.DATE)
 
 
 @function("timeOf")
@@ -77,12 +87,13 @@ def time_of(k, x, args, scope):
     x = c.as_one(x, "timeOf()")
     if x.ty.name != "DateTime":
         return c.nothing(c.TIME)
-    t = F.regexp_extract(c.temporal_text(x.col, x.ty), r"T([0-9:.]+)", 1)
+    if x.ty.native:
+        return c.scalar(F.date_format(x.col, "HH:mm:ss.SSS"), c.TIME)
+    t = F.regexp_extract(x.col, r"T([0-9:.]+)", 1)
     return c.scalar(F.nullif(t, F.lit("")), c.TIME)
 
 
 def _temporal_edge(x: Coll, low: bool, digits: int | None) -> Coll:
-    p = temporal.parts(x)
     time = x.ty.name == "Time"
     most = 9 if time else 17
     want = most if digits is None else digits
@@ -95,22 +106,21 @@ def _temporal_edge(x: Coll, low: bool, digits: int | None) -> Coll:
         keep = min(keep, 10)
     if not keep:
         return c.nothing(x.ty)
-    text = c.temporal_text(x.col, x.ty)
-    shown = F.regexp_replace(F.regexp_replace(text, r"(Z|[+-]\d\d:\d\d)$", ""), "T$", "")
-    if time:
-        fill = "00:00:00.000" if low else "23:59:59.999"
-        full = F.concat(shown, F.substring(F.lit(fill), F.length(shown) + 1, F.lit(12)))
-        return c.scalar(F.substring(full, 1, keep), x.ty.name == "Time" and c.TIME)
-    month = F.when(F.length(shown) >= 7, shown).otherwise(F.concat(shown, F.lit("-01" if low else "-12")))
-    last = F.lit("01") if low else F.date_format(F.last_day(F.concat(F.substring(month, 1, 7), F.lit("-01")).try_cast("date")), "dd")
-    day = F.when(F.length(shown) >= 10, shown).otherwise(F.concat(month, F.lit("-"), last))
-    fill = "0000-00-00T00:00:00.000" if low else "0000-00-00T23:59:59.999"
-    full = F.substring(F.concat(day, F.substring(F.lit(fill), F.length(day) + 1, F.lit(23))), 1, 23)
-    zone = F.when(p.zone != "", p.zone).otherwise(F.lit("+14:00" if low else "-12:00"))
-    out = F.substring(full, 1, keep)
-    if x.ty.name == "DateTime" and keep > 10:
-        return c.scalar(F.concat(out, zone), c.DATETIME)
-    return c.scalar(out, c.DATE if x.ty.name == "Date" or keep <= 10 else c.DATETIME)
+    zoned = x.ty.name == "DateTime" and keep > 10
+
+    def edge(p: temporal.Parts):
+        if time:
+            fill = "00:00:00.000" if low else "23:59:59.999"
+            return F.substring(F.concat(p.shown, F.substring(F.lit(fill), F.length(p.shown) + 1, F.lit(12))), 1, keep)
+        month = F.when(F.length(p.shown) >= 7, p.shown).otherwise(F.concat(p.shown, F.lit("-01" if low else "-12")))
+        last = F.lit("01") if low else F.date_format(F.last_day(F.concat(F.substring(month, 1, 7), F.lit("-01")).try_cast("date")), "dd")
+        day = F.when(F.length(p.shown) >= 10, p.shown).otherwise(F.concat(month, F.lit("-"), last))
+        fill = "0000-00-00T00:00:00.000" if low else "0000-00-00T23:59:59.999"
+        out = lambda day: F.substring(F.concat(day, F.substring(F.lit(fill), F.length(day) + 1, F.lit(23))), 1, keep)
+        zone = F.when(p.zone != "", p.zone).otherwise(F.lit("+14:00" if low else "-12:00"))
+        return F.concat(c.bind(day, out), zone) if zoned else c.bind(day, out)
+
+    return c.scalar(temporal.with_parts(x, edge), c.TIME if time else c.DATETIME if zoned else c.DATE)
 
 
 def _boundary(name, low):

@@ -275,8 +275,8 @@ def divided(x: Column, dx: tuple[int, int], y: Column, dy: tuple[int, int]) -> t
 def shift(a: Coll, q: Coll, sign: int) -> Coll:
     """A date or time plus a quantity of a calendar unit."""
     if q.const is None:
-        known = [temporal.add(a, F.when(q.col["unit"] == u, q.col["value"]) * sign, u) for u in units.CALENDAR]
-        return c.scalar(F.coalesce(*known), a.ty)
+        by = lambda v, w, u: temporal.add(a.with_(col=v), F.when(w["unit"] == u, w["value"]) * sign, u)
+        return c.scalar(c.bind(a.col, lambda v: c.bind(q.col, lambda w: F.coalesce(*[by(v, w, u) for u in units.CALENDAR]))), a.ty)
     amount, unit = q.const
     if unit in ("a", "mo"):
         raise PathTypeError(f"dates take calendar units, not '{unit}'")

@@ -7,40 +7,68 @@ precision. Seconds and milliseconds are one level.
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pathloom.plans.coll import Coll, Ty, temporal_text
+from pathloom.plans.coll import Coll, Ty, bind, temporal_text
 
 _ZONE = r"(Z|[+-]\d\d:\d\d)$"
+#: An offset, and the T before it where there is no time.
+_END = r"T?(Z|[+-]\d\d:\d\d)?$"
 _FULL = "0000-01-01T00:00:00.000"
 
 
 @dataclass
 class Parts:
-    body: Column  # text without offset, fraction of three digits where seconds are given
+    text: Column
+    shown: Column  # text without offset
+    body: Column  # that, with a fraction of three digits where seconds are given
     zone: Column  # offset text, '' where there is none
     time: bool  # a Time
     native: bool
     const: str | None = None
 
 
-def parts(c: Coll) -> Parts:
-    text = temporal_text(c.col, c.ty)
+def zone(c: Coll) -> Column:
+    """The offset's text, '' where there is none."""
     if c.ty.native:
-        zone = F.lit("Z") if isinstance(c.ty.dt, T.TimestampType) else F.lit("")
-        body = F.date_format(c.col, "yyyy-MM-dd'T'HH:mm:ss.SSS") if c.ty.name == "DateTime" else text
-        return Parts(body, zone, c.ty.name == "Time", True)
-    if isinstance(c.const, str):
+        return F.lit("Z") if isinstance(c.ty.dt, T.TimestampType) else F.lit("")
+    return F.lit(split_zone(c.const)[1]) if isinstance(c.const, str) else F.regexp_extract(c.col, _ZONE, 1)
+
+
+def bare(c: Coll) -> Column:
+    """Whether the text is one without an offset or a last T, told without a regular
+    expression. What holds for those can be plain, compiled code, with `with_parts`
+    for the rest."""
+    if c.ty.native:
+        return F.lit(not isinstance(c.ty.dt, T.TimestampType))
+    last = c.col.substr(-1, 1)
+    return (last >= "0") & (last <= "9") & ~((c.col.substr(-3, 1) == ":") & c.col.substr(-6, 1).isin("+", "-"))
+
+
+def with_parts(c: Coll, fn: Callable[[Parts], Column]) -> Column:
+    """fn of c's parts. Text, offset and what is shown are computed once, however
+    often fn names them: as plain columns they would double the expression at every
+    step. The body is an expression of what is shown."""
+    time = c.ty.name == "Time"
+    if c.ty.native:
+        text = F.date_format(c.col, "yyyy-MM-dd'T'HH:mm:ss.SSS") if c.ty.name == "DateTime" else temporal_text(c.col, c.ty)
+        return bind(text, lambda t: fn(Parts(t, t, t, zone(c), time, True)))
+    if isinstance(c.const, str):  # folded while planning
         b, z = split_zone(c.const)
-        return Parts(F.lit(b), F.lit(z), c.ty.name == "Time", False, c.const)
-    seconds = 8 if c.ty.name == "Time" else 19
-    body = F.regexp_replace(F.regexp_replace(text, _ZONE, ""), "T$", "")
-    body = F.when(F.length(body) >= seconds, F.substring(F.concat(body, F.when(F.length(body) == seconds, F.lit(".000")).otherwise(F.lit("000"))), 1, seconds + 4)).otherwise(body)
-    return Parts(body, F.regexp_extract(text, _ZONE, 1), c.ty.name == "Time", False)
+        return fn(Parts(F.lit(c.const), F.regexp_replace(F.lit(c.const), _END, ""), F.lit(b), F.lit(z), time, False, c.const))
+    split = lambda t: F.struct(t.alias("text"), F.regexp_replace(t, _END, "").alias("shown"), F.regexp_extract(t, _ZONE, 1).alias("zone"))
+    return bind(bind(c.col, split), lambda p: fn(Parts(p["text"], p["shown"], body(p["shown"], c.ty.name), p["zone"], time, False)))
+
+
+def body(shown: Column, kind: str) -> Column:
+    """With a fraction of three digits where there are seconds."""
+    n, seconds = F.length(shown), 8 if kind == "Time" else 19
+    return F.when(n < seconds, shown).otherwise(F.substring(F.concat(shown, F.when(n == seconds, F.lit(".000")).otherwise(F.lit("000"))), 1, seconds + 4))
 
 
 def split_zone(text: str) -> tuple[str, str]:
@@ -57,6 +85,12 @@ def _shifted(p: Parts) -> Column:
     """The text at UTC, where there are an offset and a time."""
     if p.const is not None and not split_zone(p.const)[1]:
         return p.body
+    if p.const is None:
+        return F.when(p.zone == "", p.body).otherwise(bind(p.body, lambda b: _at_offset(replace(p, body=b))))
+    return _at_offset(p)
+
+
+def _at_offset(p: Parts) -> Column:
     full = F.concat(p.body, F.substring(F.lit(_FULL), F.length(p.body) + 1, F.lit(23)))
     minutes = F.when(p.zone == "Z", F.lit(0)).otherwise(
         F.concat(F.substring(p.zone, 1, 1), F.lit("1")).cast("int") * (F.substring(p.zone, 2, 2).cast("int") * 60 + F.substring(p.zone, 5, 2).cast("int"))
@@ -67,12 +101,23 @@ def _shifted(p: Parts) -> Column:
 
 def rank(a: Coll, b: Coll) -> Column:
     """-1, 0 or 1; null where precisions or offsets don't decide."""
-    x, y = parts(a), parts(b)
-    tx, ty = (p.body if p.time or p.native and a.ty.dt != T.TimestampType() else _shifted(p) for p in (x, y))
-    n = F.least(F.length(tx), F.length(ty))
-    left, right = F.substring(tx, F.lit(1), n), F.substring(ty, F.lit(1), n)
-    odd = F.lit(False) if x.time else ((x.zone == "") != (y.zone == "")) & (n > 10)
-    return F.when(odd, F.lit(None).cast("int")).when(left < right, -1).when(left > right, 1).when(F.length(tx) == F.length(ty), 0)
+
+    def at_utc(p: Parts, fn: Callable[[Column], Column]) -> Column:
+        if p.time or p.native and a.ty.dt != T.TimestampType():
+            return fn(p.body)
+        return fn(_shifted(p)) if p.const is not None else bind(_shifted(p), fn)
+
+    def ranked(x: Parts, y: Parts, tx: Column, ty: Column) -> Column:
+        n = F.least(F.length(tx), F.length(ty))
+        left, right = F.substring(tx, F.lit(1), n), F.substring(ty, F.lit(1), n)
+        odd = F.lit(False) if x.time else (n > 10) & ((x.zone == "") != (y.zone == ""))
+        return F.when(odd, F.lit(None).cast("int")).when(left < right, -1).when(left > right, 1).when(F.length(tx) == F.length(ty), 0)
+
+    rest = with_parts(a, lambda x: with_parts(b, lambda y: at_utc(x, lambda tx: at_utc(y, lambda ty: ranked(x, y, tx, ty)))))
+    # of one length, no longer than milliseconds, and without offsets the texts decide
+    left, right = temporal_text(a.col, a.ty), temporal_text(b.col, b.ty)
+    alike = (F.length(left) == F.length(right)) & (F.length(left) <= (12 if a.ty.name == "Time" else 23)) & bare(a) & bare(b)
+    return F.when(alike, F.when(left < right, -1).when(left > right, 1).otherwise(0)).otherwise(rest)
 
 
 def native_bounds(text: str) -> tuple[str, str] | None:
@@ -136,19 +181,23 @@ def add(c: Coll, amount: Column, unit: str) -> Column:
         if days:
             return c.col + F.make_dt_interval(whole * days)
         return c.col + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (amount if seconds <= 1 else whole) * seconds)
-    p = parts(c)
+    if isinstance(c.const, str):
+        return with_parts(c, lambda p: _added(p, amount, whole, unit))
+    return with_parts(c, lambda p: bind(p.body, lambda b: _added(replace(p, body=b), amount, whole, unit)))
+
+
+def _added(p: Parts, amount: Column, whole: Column, unit: str) -> Column:
+    months, days, seconds = _STEP[unit]
     if p.time:
         full = F.concat(p.body, F.substring(F.lit("00:00:00.000"), F.length(p.body) + 1, F.lit(12)))
         secs = F.substring(full, 1, 2).cast("int") * 3600 + F.substring(full, 4, 2).cast("int") * 60 + F.substring(full, 7, 6).cast("decimal(9,3)")
         step = F.round(amount * (seconds or days * 86400) * 1000).cast("bigint")
         ms = F.pmod((secs * 1000).cast("bigint") + step, F.lit(86_400_000))
-        shown = F.date_format(F.timestamp_millis(ms).cast("timestamp"), "HH:mm:ss.SSS")
-        out = F.concat(
+        out = lambda ms: F.concat(
             F.lpad((F.floor(ms / 3_600_000)).cast("string"), 2, "0"), F.lit(":"), F.lpad((F.floor(ms / 60_000) % 60).cast("string"), 2, "0"), F.lit(":"),
             F.lpad((F.floor(ms / 1000) % 60).cast("string"), 2, "0"), F.lit("."), F.lpad((ms % 1000).cast("string"), 3, "0"),
         )
-        del shown
-        return F.substring(out, F.lit(1), F.length(temporal_text(c.col, c.ty)))
+        return F.substring(bind(ms, out), F.lit(1), F.length(p.text))
     full = F.concat(p.body, F.substring(F.lit(_FULL), F.length(p.body) + 1, F.lit(23)))
     start = F.try_to_timestamp(full, F.lit("yyyy-MM-dd'T'HH:mm:ss.SSS")).cast("timestamp_ntz")
     n = F.length(p.body)
@@ -164,9 +213,9 @@ def add(c: Coll, amount: Column, unit: str) -> Column:
             .when(n == 10, start + F.make_dt_interval(cut(in_days)))
             .otherwise(start + fine)
         )
-    text = F.date_format(to, "yyyy-MM-dd'T'HH:mm:ss.SSS")
-    shown = F.length(F.regexp_replace(temporal_text(c.col, c.ty), _ZONE, ""))
-    return F.when((F.year(to) >= 1) & (F.year(to) <= 9999), F.concat(F.substring(text, F.lit(1), F.when(n == 23, shown).otherwise(n)), p.zone))
+    keep = F.when(n == 23, F.length(F.regexp_replace(p.text, _ZONE, ""))).otherwise(n)
+    text = lambda to: F.concat(F.substring(F.date_format(to, "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit(1), keep), p.zone)
+    return bind(to, lambda to: F.when((F.year(to) >= 1) & (F.year(to) <= 9999), text(to)))
 
 
 def now_parts(ty: Ty, moment: str) -> str:
